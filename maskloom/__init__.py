@@ -2,7 +2,6 @@
 
 from maskloom.config import MaskConfig, generate_salt
 from maskloom.operators.masking import mask_columns, mask_line, mask_text
-from maskloom.operators.reports import find_in_line, find_in_text, findings
+from maskloom.operators.reports import findings
 
-__all__ = ["MaskConfig", "find_in_line", "find_in_text", "findings", "generate_salt",
-           "mask_columns", "mask_line", "mask_text"]
+__all__ = ["MaskConfig", "findings", "generate_salt", "mask_columns", "mask_line", "mask_text"]

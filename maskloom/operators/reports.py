@@ -19,6 +19,7 @@ from maskloom.operators.json_lines import is_maskable, line_pieces
 from maskloom.operators.masking import mask_line
 
 _FOUND = "array<struct<type:string,pos:int,value:string,token:string>>"
+_STEPS_PER_SELECT = 6
 _BRACKETS = r"\A\[|\]\z"
 
 
@@ -36,42 +37,48 @@ def _hits(pieces: Column, step: Detector, cfg: MaskConfig) -> Column:
     return F.filter(hits, lambda h: h.isNotNull()).cast(_FOUND)
 
 
-def _observe(step: Detector | Scrubber, cfg: MaskConfig) -> Callable[[Column], Column]:
+def _observe(step: Detector | Scrubber, cfg: MaskConfig, mask: bool) -> Callable[[Column], Column]:
     def run(state: Column) -> Column:
         text, found = state["text"], state["found"]
         if isinstance(step, Scrubber):
-            return F.struct(step.replace(text).alias("text"), found.alias("found"))
+            return F.struct(step.replace(text).alias("text"), found.alias("found")) if mask else state
         after = let(split_matches(text, step.pattern), lambda pieces: F.struct(
-            join_pieces(pieces, lambda m: step.rewrite(m, cfg)).alias("text"),
+            (join_pieces(pieces, lambda m: step.rewrite(m, cfg)) if mask else text).alias("text"),
             F.concat(found, _hits(pieces, step, cfg)).alias("found")))
         return F.when(step.hint(text), after).otherwise(state)
 
     return run
 
 
-def find_in_text(text: Column, cfg: MaskConfig) -> Column:
-    """All findings of a text, as an array in the order of the detectors."""
-    state = F.array(F.struct(shield(text).alias("text"), F.array().cast(_FOUND).alias("found")))
-    for step in active_detectors(cfg):
-        state = F.transform(state, _observe(step, cfg))
-    return F.element_at(state, 1)["found"]
-
-
-def find_in_line(line: Column, cfg: MaskConfig) -> Column:
-    """All findings of a log line; of a JSON object, those of its string values."""
-    maskable = F.filter(line_pieces(line, cfg), is_maskable)
-    return F.flatten(F.transform(maskable, lambda p: find_in_text(p["text"], cfg)))
-
-
 def findings(df: DataFrame, keep: Sequence[str], text: str, cfg: MaskConfig,
-             as_lines: bool = False) -> DataFrame:
+             as_lines: bool = False, chained: bool = True) -> DataFrame:
     """One row per finding: the `keep` columns, then type, pos, value and token.
 
-    `pos` counts the matches of one detector in one text from 0. Holds raw
-    sensitive values.
+    Texts are taken whole, or, with `as_lines`, as log lines: of a JSON object
+    only the string values count. `pos` numbers the matches of one detector in
+    one text from 0. With `chained` off, every detector looks at the text as it
+    is, and not at what the detectors before it have left. Holds raw sensitive
+    values.
     """
-    find = find_in_line if as_lines else find_in_text
-    return df.select(*keep, F.inline(find(F.col(text), cfg)))
+    def begin(part: Column) -> Column:
+        return F.struct(shield(part).alias("text"), F.array().cast(_FOUND).alias("found"))
+
+    if as_lines:
+        states = F.transform(F.filter(line_pieces(F.col(text), cfg), is_maskable),
+                             lambda piece: begin(piece["text"]))
+    else:
+        states = F.array(begin(F.col(text)))
+    walked = df.select(*keep, states.alias("_states"))
+    # A few detectors per select keep each expression small for the analyzer; the
+    # optimizer makes one projection of them.
+    chain = active_detectors(cfg)
+    for start in range(0, len(chain), _STEPS_PER_SELECT):
+        states = F.col("_states")
+        for step in chain[start:start + _STEPS_PER_SELECT]:
+            states = F.transform(states, _observe(step, cfg, chained))
+        walked = walked.withColumn("_states", states)
+    found = F.flatten(F.transform("_states", lambda state: state["found"]))
+    return walked.select(*keep, F.inline(found))
 
 
 def pii_counts(found: DataFrame, source: str = "source") -> DataFrame:
@@ -117,11 +124,12 @@ def token_collisions(vault: DataFrame) -> DataFrame:
 def residual_audit(masked: DataFrame, text: str, vault: DataFrame, cfg: MaskConfig) -> DataFrame:
     """What the detectors of `cfg` still find in masked text, tokens aside.
 
-    Counts per type and value come first, so the anti join sees each value once
+    Each detector looks at the masked text itself: in a chain, the later ones
+    would find tokens the audit has made. Counts per type and value come first, so the anti join sees each value once
     and no hot value can swamp a task.
     """
     inner = F.regexp_replace("value", _BRACKETS, "")
-    left = (findings(masked, [], text, cfg).groupBy("type", "value")
+    left = (findings(masked, [], text, cfg, chained=False).groupBy("type", "value")
             .agg(F.count("*").alias("n")).withColumn("inner", inner))
     known = vault.select(F.regexp_replace("token", _BRACKETS, "").alias("inner")).distinct()
     return (left.join(known, "inner", "left_anti").groupBy("type")

@@ -60,8 +60,11 @@ def check_target(spark: SparkSession, source: str, target: str, overwrite: bool)
         raise FileExistsError(f"output exists already: {target}")
 
 
-def publish(spark: SparkSession, staged: str, target: str, overwrite: bool) -> None:
-    """Move the staged parts of one source to the path `target`."""
+def publish(spark: SparkSession, staged: str, target: str, overwrite: bool) -> bool:
+    """Move the staged parts of one source to the path `target`.
+
+    Tells whether there were any; a source without lines becomes an empty file.
+    """
     fs, end = file_system(spark, target), hadoop_path(spark, target)
     parts = sorted(name for name in child_names(spark, staged) if name.startswith("part-"))
     if fs.exists(end):
@@ -80,6 +83,7 @@ def publish(spark: SparkSession, staged: str, target: str, overwrite: bool) -> N
         sums = hadoop_path(spark, f"{end.getParent().toString()}/.{end.getName()}.crc")
         if fs.exists(sums):
             fs.delete(sums, False)
+    return bool(parts)
 
 
 def publish_all(spark: SparkSession, staging: str, targets: Iterable[tuple[str, str]],
@@ -88,17 +92,22 @@ def publish_all(spark: SparkSession, staging: str, targets: Iterable[tuple[str,
 
     Gives the number published, and (name, message) of each that failed.
     """
-    def move(pair: tuple[str, str]) -> tuple[str, str] | None:
+    n_staged = sum(name.startswith("source_key=") for name in child_names(spark, staging))
+
+    def move(pair: tuple[str, str]) -> tuple[bool, tuple[str, str] | None]:
         try:
-            publish(spark, f"{staging}/source_key={pair[0]}", pair[1], overwrite)
-            return None
+            return publish(spark, f"{staging}/source_key={pair[0]}", pair[1], overwrite), None
         except Exception as error:
-            return pair[1].rpartition("/")[2], str(error).split("\n", 1)[0]
+            return True, (pair[1].rpartition("/")[2], str(error).split("\n", 1)[0])
 
-    pending, n, failures = iter(targets), 0, []
+    pending, n, n_used, failures = iter(targets), 0, 0, []
     with ThreadPoolExecutor(_MOVERS) as movers:
         while batch := list(islice(pending, _MOVES_AT_ONCE)):
-            failed = [f for f in movers.map(move, batch) if f is not None]
+            moved = list(movers.map(move, batch))
+            n_used += sum(used for used, _ in moved)
+            failed = [failure for _, failure in moved if failure is not None]
             n += len(batch) - len(failed)
             failures.extend(failed)
+    if n_used < n_staged:
+        raise RuntimeError(f"{n_staged - n_used} masked sources have no target")
     return n, failures

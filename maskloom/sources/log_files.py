@@ -3,7 +3,7 @@
 Every reader yields the same columns:
 
 * `value`: the line, with bytes that are no UTF-8 replaced by U+FFFD,
-* `source_file`: the name of the file, `source_path`: its URI,
+* `source_file`: the name of the file, `source_path`: its URI, for telling files apart,
 * `line_id`: ascending with the lines of a file.
 
 Names starting with `_` or `.` are hidden from Spark and not read.
@@ -12,6 +12,7 @@ Names starting with `_` or `.` are hidden from Spark and not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -56,32 +57,48 @@ def distinct_paths(paths: DataFrame) -> DataFrame:
     return paths.dropDuplicates(["path"])
 
 
+def _one_spelling(url: Column) -> Column:
+    """The URI, of local files with one slash behind `file:`; Spark writes one or three."""
+    return F.regexp_replace(url, r"\Afile:/+", "file:/")
+
+
 def _lines(df: DataFrame) -> DataFrame:
     return df.select(F.make_valid_utf8("value").alias("value"),
                      F.col("_metadata.file_name").alias("source_file"),
-                     F.col("_metadata.file_path").alias("source_path"),
+                     _one_spelling(F.col("_metadata.file_path")).alias("source_path"),
                      F.monotonically_increasing_id().alias("line_id"))
 
 
 def _files(df: DataFrame) -> DataFrame:
-    return df.select(F.col("_metadata.file_name").alias("source_file"),
-                     F.col("_metadata.file_path").alias("source_path"),
-                     F.col("_metadata.file_size").alias("n_bytes"))
+    """The files a reader would open, empty ones included, without opening them.
 
+    The names come from the file index, which the driver holds in any case.
+    """
+    spark = df.sparkSession
+    # Joined on the JVM side, for fetching an array costs a round trip per entry.
+    urls = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", df._jdf.inputFiles())
+    rows = [(unquote(url.rpartition("/")[2]), url) for url in urls.split("\n") if url]
+    files = spark.createDataFrame(rows, "source_file string, source_path string")
+    return files.withColumn("source_path", _one_spelling(F.col("source_path")))
 
-def _top_level(spark: SparkSession, directory: str) -> Column:
-    # Spark also reads subfolders named like key=value; these lie deeper.
-    def depth(path: Column) -> Column:
-        return F.size(F.split(F.regexp_replace(path, r"\A[A-Za-z0-9+.-]+:/*", ""), "/"))
 
-    root = F.lit(qualified(spark, directory).rstrip("/"))
-    return depth(F.col("_metadata.file_path")) == depth(root) + 1
+def _depth(path: Column) -> Column:
+    return F.size(F.split(F.regexp_replace(path, r"\A[A-Za-z0-9+.-]+:/*", ""), "/"))
 
 
-def _wanted(spark: SparkSession, directory: str, cfg: MaskConfig) -> Column:
-    name = F.col("_metadata.file_name")
+def _wanted(spark: SparkSession, directory: str, name: Column, path: Column,
+            cfg: MaskConfig) -> Column:
+    """Whether a file lies right in the directory and is a log to be masked."""
+    root = F.lit(qualified(spark, directory).rstrip("/"))
     return (has_extension(name, cfg.extensions) & ~is_masked_log(name)
-            & _top_level(spark, directory))
+            & (_depth(path) == _depth(root) + 1))
+
+
+def _in_directory(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
+    # A plain read takes subfolders named like key=value for partitions and may
+    # refuse the directory. So it is read as a tree, and a filter on the path,
+    # which Spark applies to the list of files, leaves its top level.
+    return _reader(spark, cfg.extensions, recursive=True).text(directory)
 
 
 def _reader(spark: SparkSession, extensions: Sequence[str] | None = None, recursive: bool = False):
@@ -96,19 +113,20 @@ def read_log_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 def list_log_files(spark: SparkSession, *paths: str) -> DataFrame:
     """The given files as a table; nothing of their contents is read."""
-    return _files(_reader(spark).format("binaryFile").load(list(paths)))
+    return _files(_reader(spark).text(list(paths)))
 
 
 def read_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
     """The lines of the log files right in a directory, earlier outputs left out."""
-    df = _reader(spark, cfg.extensions).text(directory)
-    return _lines(df.where(_wanted(spark, directory, cfg)))
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    df = _in_directory(spark, directory, cfg)
+    return _lines(df.where(_wanted(spark, directory, name, path, cfg)))
 
 
 def list_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
     """The files `read_log_dir` would read."""
-    df = _reader(spark, cfg.extensions).format("binaryFile").load(directory)
-    return _files(df.where(_wanted(spark, directory, cfg)))
+    files = _files(_in_directory(spark, directory, cfg))
+    return files.where(_wanted(spark, directory, F.col("source_file"), F.col("source_path"), cfg))
 
 
 def tree_roots(spark: SparkSession, paths: Sequence[str],
@@ -162,9 +180,9 @@ def list_log_tree(spark: SparkSession, paths: Sequence[str],
     folders, files = tree_roots(spark, paths, extensions)
     found = []
     if folders:
-        found.append(_reader(spark, extensions, recursive=True).format("binaryFile").load(folders))
+        found.append(_reader(spark, extensions, recursive=True).text(folders))
     if files:
-        found.append(_reader(spark).format("binaryFile").load(files))
+        found.append(_reader(spark).text(files))
     if not found:
         raise FileNotFoundError("none of the given paths exists")
     listed = [_files(df) for df in found]
