@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import sql_chain as sql
 from checks.sql_chain import Chain, Stage, apply_stage, tok
-from maskloom import MaskConfig, findings, mask_line, mask_text
+from maskloom import MaskConfig, findings, mask_columns, mask_line, mask_text
 from maskloom.config import TYPE_CODES
 from maskloom.functions.tokens import key_token, type_code, typed_token
 from maskloom.operators import masking as m
@@ -180,8 +180,6 @@ _TEXTS: dict[str, tuple[Callable, str, tuple[str, ...], str, tuple]] = {
                                sql.DEFAULT_CHAIN),
     "mask_documents_all": (lambda c: mask_text(c, ALL), "documents", ("doc_id",), "text", sql.FULL_CHAIN),
     "mask_pages_all": (lambda c: mask_text(c, ALL), "pages", ("page_id",), "html", sql.FULL_CHAIN),
-    "mask_conversations_default": (lambda c: mask_line(c, DEFAULT), "conversations", ("conv_id", "turn"),
-                                   "text", sql.DEFAULT_CHAIN),
 }
 
 
@@ -228,6 +226,11 @@ def type_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("type", "code").agg(F.count("*").alias("n")))
 
 
+def mask_conversations_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations", "conv_id", "turn", F.col("text").alias("masked"))
+    return mask_columns(table, ["masked"], DEFAULT)
+
+
 def mask_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events", "event_id", "props").select(
         "event_id", mask_line(F.col("props"), DEFAULT).alias("masked"))
@@ -326,7 +329,12 @@ def _output_names_sql() -> str:
             "FROM names n LEFT JOIN free f ON n.name = f.name")
 
 
+_TALK = Chain("SELECT conv_id, turn, text AS t FROM conversations", ("conv_id", "turn"), sql.DEFAULT_CHAIN)
+
 _PLAIN: dict[str, tuple[Query, str]] = {
+    "mask_conversations_default": (
+        mask_conversations_default,
+        f"WITH {', '.join(_TALK.ctes)} SELECT conv_id, turn, t AS masked FROM {_TALK.last}"),
     "token_customer_names": (
         token_customer_names,
         f"SELECT c_custkey, {_t('NAME', "c_name || 'pepper'")} AS token FROM customer"),

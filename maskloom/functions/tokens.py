@@ -13,25 +13,17 @@ from pyspark.sql import Column, functions as F
 from maskloom.config import TYPE_CODES, UNKNOWN_TYPE_CODE, MaskConfig
 
 
-def _text(value: Column | str) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
-
-
-def bare_token(code: Column | str, value: Column, cfg: MaskConfig) -> Column:
-    """`CODE-HHHHHH`, for a value that already stands in brackets or quotes."""
-    salted = F.concat(value, F.lit(cfg.salt)) if cfg.salt else value
-    return F.concat(_text(code), F.lit("-"), F.upper(F.substring(F.sha2(salted, 256), 1, 6)))
-
-
 def key_token(code: Column | str, value: Column, cfg: MaskConfig) -> Column:
     """`[CODE-HHHHHH]` under a code of the caller's."""
-    return F.concat(F.lit("["), bare_token(code, value, cfg), F.lit("]"))
+    opening = F.lit(f"[{code}-") if isinstance(code, str) else F.concat(F.lit("["), code, F.lit("-"))
+    salted = F.concat(value, F.lit(cfg.salt)) if cfg.salt else value
+    return F.concat(opening, F.upper(F.substring(F.sha2(salted, 256), 1, 6)), F.lit("]"))
 
 
-def type_code(type_name: Column | str) -> Column:
-    """The token code of a type name; unknown names give `ID`."""
+def type_code(type_name: Column | str) -> Column | str:
+    """The token code of a type; unknown types give `ID`."""
     if isinstance(type_name, str):
-        return F.lit(TYPE_CODES.get(type_name, UNKNOWN_TYPE_CODE))
+        return TYPE_CODES.get(type_name, UNKNOWN_TYPE_CODE)
     codes = F.create_map(*[F.lit(x) for x in chain.from_iterable(TYPE_CODES.items())])
     return F.coalesce(F.try_element_at(codes, type_name), F.lit(UNKNOWN_TYPE_CODE))
 
@@ -39,8 +31,3 @@ def type_code(type_name: Column | str) -> Column:
 def typed_token(type_name: Column | str, value: Column, cfg: MaskConfig) -> Column:
     """`[CODE-HHHHHH]` with the code of a type."""
     return key_token(type_code(type_name), value, cfg)
-
-
-def token_or_placeholder(token: Column, cfg: MaskConfig) -> Column:
-    """The token, or the fixed placeholder when hashing is off."""
-    return token if cfg.hashing else F.lit(cfg.placeholder)

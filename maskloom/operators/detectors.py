@@ -6,14 +6,16 @@ detector sees the tokens of an earlier one (`Server=x` is tokenized as a key's
 value, and its token then again as part of a connection string), and a phone
 number takes some addresses before the IPv4 detector sees them.
 
-Each detector has a `hint`, a cheap test that holds for every text the pattern
-can match. Most texts fail it and skip the costly pattern.
+Each detector names what it `needs`: characters and small patterns that occur in
+every text it can match. Most texts lack one of them and skip the costly pattern.
+A `trigger` is a set of characters of which such a text has at least one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -21,7 +23,7 @@ from maskloom.config import ALLOWED_WORDS, MaskConfig
 from maskloom.functions import patterns as rx
 from maskloom.functions.matching import any_literal, literal_replacement, unshield
 from maskloom.functions.patterns import any_word
-from maskloom.functions.tokens import bare_token, key_token, token_or_placeholder, type_code
+from maskloom.functions.tokens import key_token, type_code
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,8 @@ class Hit:
 
     `keep` says that the match is left alone. `bare` writes the token without
     its brackets. `maskable` lets the placeholder take the token's place;
-    `masks_head` has it replace the head, too.
+    `masks_head` has it replace the head, too. `any_text` marks values that may
+    hold any character, and so the stand-ins of `shield`.
     """
 
     code: Column | str
@@ -41,15 +44,21 @@ class Hit:
     bare: Column | None = None
     maskable: bool = False
     masks_head: bool = False
+    any_text: bool = False
+
+    def plain_value(self) -> Column:
+        return unshield(self.value) if self.any_text else self.value
 
     def token(self, cfg: MaskConfig) -> Column:
-        token = key_token(self.code, unshield(self.value), cfg)
-        return token_or_placeholder(token, cfg) if self.maskable else token
+        if self.maskable and not cfg.hashing:
+            return F.lit(cfg.placeholder)
+        return key_token(self.code, self.plain_value(), cfg)
 
-    def replacement(self, cfg: MaskConfig) -> Column:
-        token = self.token(cfg)
+    def replacement(self, token: Column, cfg: MaskConfig) -> Column:
+        """What to write for the match, given its token."""
         if self.bare is not None:
-            token = F.when(self.bare, bare_token(self.code, unshield(self.value), cfg)).otherwise(token)
+            bare = F.substring(token, F.lit(2), F.length(token) - 2)
+            token = F.when(self.bare, bare).otherwise(token)
         if self.masks_head and not cfg.hashing:
             return token
         around = [part for part in (self.head, token, self.tail) if part is not None]
@@ -61,14 +70,18 @@ class Detector:
     name: str
     type_name: str
     pattern: str
-    hint: Callable[[Column], Column]
+    needs: tuple[str, ...]
     take_apart: Callable[[Column], Hit]
+    trigger: str | None = None
 
     def rewrite(self, match: Column, cfg: MaskConfig) -> Column:
         hit = self.take_apart(match)
-        new = hit.replacement(cfg)
+        new = hit.replacement(hit.token(cfg), cfg)
         return new if hit.keep is None else F.when(hit.keep, match).otherwise(new)
 
+    def hint(self, text: Column) -> Column:
+        return looks_like(text, self.needs)
+
 
 @dataclass(frozen=True)
 class Scrubber:
@@ -77,11 +90,11 @@ class Scrubber:
     name: str
     pattern: str
     constant: str
-    hint: Callable[[Column], Column] | None = None
+    needs: tuple[str, ...] = ()
 
     def replace(self, text: Column) -> Column:
         new = F.regexp_replace(text, self.pattern, literal_replacement(self.constant))
-        return new if self.hint is None else F.when(self.hint(text), new).otherwise(text)
+        return F.when(looks_like(text, self.needs), new).otherwise(text) if self.needs else new
 
 
 def _group(match: Column, pattern: str, index: int) -> Column:
@@ -122,7 +135,7 @@ def _key_value(match: Column) -> Hit:
             .when(_is_one_of(key, "databasename", "database", "catalog"), "DB")
             .otherwise("SRV"))
     return Hit(code, value, head=F.concat(key, separator, opening), tail=closing,
-               bare=(opening != "") | (closing != ""))
+               bare=(opening != "") | (closing != ""), any_text=True)
 
 
 def _url(match: Column) -> Hit:
@@ -135,12 +148,16 @@ def _connection_pair(match: Column) -> Hit:
     code = (F.when(_is_one_of(key, "data source", "server"), "SRV")
             .when(_is_one_of(key, "initial catalog", "database"), "DB")
             .otherwise("SEC"))
-    return Hit(code, value, head=F.concat(key, F.lit("=")))
+    return Hit(code, value, head=F.concat(key, F.lit("=")), any_text=True)
 
 
 def _ldap_name(match: Column) -> Hit:
     part, value = (_group(match, rx.LDAP_NAME, i) for i in (1, 2))
-    return Hit("DN", value, head=F.concat(part, F.lit("=")))
+    return Hit("DN", value, head=F.concat(part, F.lit("=")), any_text=True)
+
+
+def _secret(match: Column) -> Hit:
+    return Hit(type_code("ConnectionStringPassword"), match, maskable=True, any_text=True)
 
 
 def has_allowed_word(match: Column) -> Column:
@@ -162,70 +179,81 @@ def _named(type_name: str) -> Callable[[Column], Hit]:
                              keep=F.contains(match, F.lit("[")) | has_allowed_word(match))
 
 
-def _contains(part: str) -> Callable[[Column], Column]:
-    return lambda text: F.contains(text, F.lit(part))
-
+def looks_like(text: Column, needs: tuple[str, ...]) -> Column:
+    """Whether the text has everything a detector needs, cheapest test first."""
+    tests = [F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(need) for need in needs]
+    return reduce(lambda one, other: one & other, tests)
 
-def _matches(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: text.rlike(pattern)
 
+def any_needed(steps: Sequence[Detector | Scrubber]) -> str | None:
+    """A pattern found in every text that any of the steps can change.
 
-def _both(first: Callable[[Column], Column], second: Callable[[Column], Column]):
-    return lambda text: first(text) & second(text)
-
-
-_has_bearer = _matches(any_word("bearer") + r"(?U)\s")
-
-API_KEYS = Detector("api_keys", "ApiKey", rx.API_KEY, _matches("-" + any_word("key")), _api_key)
-BEARER = Detector("bearer", "BearerToken", rx.BEARER, _has_bearer, _bearer)
-IPV6 = Detector("ipv6", "IPv6Address", rx.IPV6,
-                _both(_contains(":"), _matches(":[0-9A-Fa-f]{0,4}:")), _ipv6)
+    None if a step says nothing about its needs. Of each step its trigger, a
+    set of characters, or else its first need counts; the characters of all
+    steps become one class, which is the quickest thing to scan for.
+    """
+    if any(not step.needs for step in steps):
+        return None
+    characters, patterns = [], []
+    for step in steps:
+        trigger = getattr(step, "trigger", None)
+        if trigger is not None:
+            characters.append(trigger)
+        elif len(step.needs[0]) == 1:
+            characters.append("\\" + step.needs[0])
+        else:
+            patterns.append(f"(?:{step.needs[0]})")
+    one_class = [f"[{''.join(dict.fromkeys(characters))}]"] if characters else []
+    return "|".join(one_class + list(dict.fromkeys(patterns)))
+
+
+_DIGIT = r"\p{Nd}"
+_BEARER = any_word("bearer") + r"(?U:\s)"
+
+API_KEYS = Detector("api_keys", "ApiKey", rx.API_KEY, ("-" + any_word("key"),), _api_key)
+BEARER = Detector("bearer", "BearerToken", rx.BEARER, (_BEARER,), _bearer)
+IPV6 = Detector("ipv6", "IPv6Address", rx.IPV6, (":", ":[0-9A-Fa-f]{0,4}:"), _ipv6)
 SITE_PATHS = Detector("site_paths", "SiteCode", rx.SITE_PATH,
-                      _both(_contains("_"), _matches(any_word("sms_", "site_"))), _site_path)
-LDAP_DOMAINS = Scrubber("ldap_domains", rx.LDAP_DOMAIN, rx.SCRUBBED_DOMAIN, _contains("="))
+                      ("_", any_word("sms_", "site_")), _site_path)
+LDAP_DOMAINS = Scrubber("ldap_domains", rx.LDAP_DOMAIN, rx.SCRUBBED_DOMAIN, ("=",))
 KEY_VALUES = Detector("key_values", "KeyValue", rx.KEY_VALUE,
-                      _both(lambda text: _contains("=")(text) | _contains(":")(text),
-                            _matches(any_word("site", "database", "catalog", "server", "source"))),
-                      _key_value)
-URL_HOSTS = Detector("url_hosts", "UrlHost", rx.URL, _contains("://"), _url)
+                      ("[=:]", any_word("site", "database", "catalog", "server", "source")), _key_value,
+                      trigger="=:")
+URL_HOSTS = Detector("url_hosts", "UrlHost", rx.URL, (":", "://"), _url)
 CONNECTION_PAIRS = Detector(
     "connection_pairs", "ConnectionPair", rx.CONNECTION_PAIR,
-    _both(_contains("="), _matches(any_word("data source", "server", "initial catalog",
-                                            "database", "user id", "password"))),
+    ("=", any_word("data source", "server", "initial catalog", "database", "user id", "password")),
     _connection_pair)
-EMAILS = Detector("emails", "Email", rx.EMAIL, _contains("@"), _whole("EMAIL"))
+EMAILS = Detector("emails", "Email", rx.EMAIL, ("@",), _whole("EMAIL"))
 TR_MOBILES = Detector("tr_mobiles", "PhoneNumber", rx.TR_MOBILE,
-                      _matches(r"(?U)5\d{2}[\s\.\-]?\d{3}[\s\.\-]?\d{2}"), _whole("PHN"))
+                      (r"5(?U:\d{2}[\s\.\-]?\d{3}[\s\.\-]?\d{2})",), _whole("PHN"), _DIGIT)
 PHONES = Detector("phones", "PhoneNumber", rx.PHONE,
-                  _matches(r"(?U)\d{3}\)?[\s\.\-]\d{3}[\s\.\-]\d{2}"), _whole("PHN"))
+                  (r"(?U:\d{3}\)?[\s\.\-]\d{3}[\s\.\-]\d{2})",), _whole("PHN"), _DIGIT)
 CARDS = Detector("cards", "CreditCard", rx.CARD,
-                 _matches(r"(?U)\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}"), _whole("CC"))
+                 (r"(?U:\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4})",), _whole("CC"), _DIGIT)
 LDAP_NAMES = Detector("ldap_names", "LdapName", rx.LDAP_NAME,
-                      _both(_contains("="), _matches(any_word("cn=", "ou=", "dc="))), _ldap_name)
+                      ("=", any_word("cn=", "ou=", "dc=")), _ldap_name)
 IPV4 = Detector("ipv4", "IPv4Address", rx.IPV4,
-                _matches(r"[0-9]\.[0-9]{1,3}\.[0-9]"), _typed("IPv4Address"))
+                (r"[0-9]\.[0-9]{1,3}\.[0-9]",), _typed("IPv4Address"), _DIGIT)
 SSNS = Detector("ssn", "SocialSecurityNumber", rx.SSN,
-                _matches(r"(?U)\d{3}-\d{2}-\d{4}"), _typed("SocialSecurityNumber"))
-IBANS = Detector("iban", "IBAN", rx.IBAN,
-                 _matches(r"(?U)[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}"), _typed("IBAN"))
+                (r"(?U:\d{3}-\d{2}-\d{4})",), _typed("SocialSecurityNumber"), _DIGIT)
+IBANS = Detector("iban", "IBAN", rx.IBAN, (r"[A-Z]{2}(?U:\d{2})[A-Z0-9]{4}(?U:\d{7})",), _typed("IBAN"), _DIGIT)
 THUMBPRINTS = Detector("thumbprints", "CertificateThumbprint", rx.THUMBPRINT,
-                       _matches("[0-9a-fA-F]{40}"), _typed("CertificateThumbprint"))
-BEARER_AGAIN = Detector("bearer_again", "BearerToken", rx.BEARER, _has_bearer, _typed("BearerToken"))
+                       ("[0-9a-fA-F]{40}",), _typed("CertificateThumbprint"))
+BEARER_AGAIN = Detector("bearer_again", "BearerToken", rx.BEARER, (_BEARER,), _typed("BearerToken"))
 CONNECTION_SECRETS = Detector(
     "connection_secrets", "ConnectionStringPassword", rx.CONNECTION_SECRET,
-    _both(_contains("="), _matches(any_word("password=", "pwd=", "user id=", "uid="))),
-    _typed("ConnectionStringPassword"))
-DOMAIN_USERS = Detector("domain_users", "DomainUser", rx.DOMAIN_USER,
-                        _contains("\\"), _named("DomainUser"))
-USERNAMES = Detector("usernames", "Username", rx.USERNAME, _contains("\\"), _named("Username"))
+    ("=", any_word("password=", "pwd=", "user id=", "uid=")), _secret)
+DOMAIN_USERS = Detector("domain_users", "DomainUser", rx.DOMAIN_USER, ("\\",), _named("DomainUser"))
+USERNAMES = Detector("usernames", "Username", rx.USERNAME, ("\\",), _named("Username"))
 HOSTNAMES = Detector("hostnames", "Hostname", rx.HOSTNAME,
-                     _matches(any_word("sw", "srv", "server")), _named("Hostname"))
+                     (any_word("sw", "srv", "server"),), _named("Hostname"))
 # With `protect_tokens`, a token in brackets is not taken for a host name.
 HOSTNAMES_BESIDE_TOKENS = Detector(
     "hostnames", "Hostname", r"(?!(?<=\[)[A-Z0-9]{2,6}-[0-9A-F]{6}\])" + rx.HOSTNAME,
-    HOSTNAMES.hint, HOSTNAMES.take_apart)
-FQDNS = Detector("fqdns", "FQDN", rx.FQDN, _matches(r"\.[a-zA-Z]{2}"), _named("FQDN"))
-IPV6_TAILS = Scrubber("ipv6_tails", rx.IPV6_TAIL, "", _contains("[IP6-"))
+    HOSTNAMES.needs, HOSTNAMES.take_apart)
+FQDNS = Detector("fqdns", "FQDN", rx.FQDN, (r"\.[a-zA-Z]{2}",), _named("FQDN"))
+IPV6_TAILS = Scrubber("ipv6_tails", rx.IPV6_TAIL, "", (r"\[IP6-",))
 
 # Run whatever the targets are. Targeting Email, CreditCard, PhoneNumber or
 # IPv6Address therefore changes nothing.
@@ -237,11 +265,13 @@ ON_REQUEST = (IPV4, SSNS, IBANS, THUMBPRINTS, BEARER_AGAIN, CONNECTION_SECRETS,
 
 
 def scrub_terms(terms: tuple[str, ...]) -> Scrubber:
-    return Scrubber("scrub_terms", "(?i)" + any_literal(terms), rx.SCRUBBED_TERM)
+    pattern = "(?i)" + any_literal(terms)
+    return Scrubber("scrub_terms", pattern, rx.SCRUBBED_TERM, (pattern,))
 
 
 def scrub_site_words(words: tuple[str, ...]) -> Scrubber:
-    return Scrubber("scrub_site_words", r"(?iU-u)\b" + any_literal(words) + r"\b", rx.SCRUBBED_SITE)
+    pattern = "(?i)" + any_literal(words)
+    return Scrubber("scrub_site_words", rf"(?iU-u)\b{any_literal(words)}\b", rx.SCRUBBED_SITE, (pattern,))
 
 
 def active_detectors(cfg: MaskConfig) -> list[Detector | Scrubber]:

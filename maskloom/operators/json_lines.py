@@ -64,7 +64,8 @@ def _unescape(literal: Column) -> Column:
     """The text of a quoted JSON string."""
     body = F.substring(literal, F.lit(2), F.length(literal) - 2)
     parsed = F.element_at(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), 1)
-    return F.when(F.contains(literal, F.lit("\\")), parsed).otherwise(body)
+    # What the parser will not take (an overlong string) is masked as it stands.
+    return F.when(F.contains(literal, F.lit("\\")), F.coalesce(parsed, body)).otherwise(body)
 
 
 def _escape(text: Column, ascii_only: bool) -> Column:

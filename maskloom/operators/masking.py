@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from maskloom.config import MaskConfig
 from maskloom.functions.matching import join_pieces, shield, split_matches, unshield
 from maskloom.operators import detectors as d
-from maskloom.operators.detectors import Detector, Scrubber
+from maskloom.operators.detectors import Detector, Scrubber, any_needed
 from maskloom.operators.json_lines import mask_pieces
 
 
+_BLOCK = 14
+
+
 def _step(step: Detector | Scrubber, text: Column, cfg: MaskConfig) -> Column:
     if isinstance(step, Scrubber):
         return step.replace(text)
@@ -27,18 +30,37 @@ def _step(step: Detector | Scrubber, text: Column, cfg: MaskConfig) -> Column:
     return F.when(step.hint(text), masked).otherwise(text)
 
 
+def _rewriter(step: Detector | Scrubber, cfg: MaskConfig) -> Callable[[Column], Column]:
+    return lambda text: _step(step, text, cfg)
+
+
+def blocks_of(chain: Sequence[Detector | Scrubber]) -> list[Sequence[Detector | Scrubber]]:
+    """The chain in pieces that are worth one look at the text before they run."""
+    return [chain[i:i + _BLOCK] for i in range(0, len(chain), _BLOCK)]
+
+
+def _run_block(block: Sequence[Detector | Scrubber], cfg: MaskConfig) -> Callable[[Column], Column]:
+    def run(text: Column) -> Column:
+        state = F.array(text)
+        for step in block:
+            state = F.transform(state, _rewriter(step, cfg))
+        masked = F.element_at(state, 1)
+        # A text without anything the steps need is not changed by the first of
+        # them, hence not by the second, and so on: none has to run.
+        needed = any_needed(block) if len(block) > 1 else None
+        return masked if needed is None else F.when(text.rlike(needed), masked).otherwise(text)
+
+    return run
+
+
 def run_chain(text: Column, chain: Sequence[Detector | Scrubber], cfg: MaskConfig) -> Column:
     """`text` sent through `chain`, step by step."""
     state = F.array(shield(text))
-    for step in chain:
-        state = F.transform(state, _rewriter(step, cfg))
+    for block in blocks_of(chain):
+        state = F.transform(state, _run_block(block, cfg))
     return unshield(F.element_at(state, 1))
 
 
-def _rewriter(step: Detector | Scrubber, cfg: MaskConfig) -> Callable[[Column], Column]:
-    return lambda text: _step(step, text, cfg)
-
-
 def mask_text(text: Column, cfg: MaskConfig) -> Column:
     """A text with every sensitive value masked."""
     return run_chain(text, d.active_detectors(cfg), cfg)

@@ -13,28 +13,24 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.config import MaskConfig
-from maskloom.functions.matching import is_match, join_pieces, let, shield, split_matches, unshield
-from maskloom.operators.detectors import Detector, Scrubber, active_detectors
+from maskloom.functions.matching import is_match, let, shield, split_matches
+from maskloom.operators.detectors import Detector, Scrubber, active_detectors, any_needed
 from maskloom.operators.json_lines import is_maskable, line_pieces
-from maskloom.operators.masking import mask_line
+from maskloom.operators.masking import blocks_of, mask_line
 
 _FOUND = "array<struct<type:string,pos:int,value:string,token:string>>"
-_STEPS_PER_SELECT = 6
 _BRACKETS = r"\A\[|\]\z"
 
 
-def _hits(pieces: Column, step: Detector, cfg: MaskConfig) -> Column:
-    """What a detector found: one entry per match it did not leave alone."""
-    matches = F.filter(pieces, lambda _, i: is_match(i))
-
-    def entry(match: Column, position: Column) -> Column:
-        hit = step.take_apart(match)
-        found = F.struct(F.lit(step.type_name).alias("type"), position.alias("pos"),
-                         unshield(hit.value).alias("value"), hit.token(cfg).alias("token"))
-        return found if hit.keep is None else F.when(~hit.keep, found)
-
-    hits = F.transform(matches, entry)
-    return F.filter(hits, lambda h: h.isNotNull()).cast(_FOUND)
+def _entry(step: Detector, piece: Column, position: Column, cfg: MaskConfig) -> Column:
+    """A piece of text after a detector, with what it found there or null."""
+    hit = step.take_apart(piece)
+    token = hit.token(cfg)
+    found = F.struct(F.lit(step.type_name).alias("type"), F.shiftright(position, 1).alias("pos"),
+                     hit.plain_value().alias("value"), token.alias("token"))
+    is_hit = is_match(position) if hit.keep is None else is_match(position) & ~hit.keep
+    return F.struct(F.when(is_hit, hit.replacement(token, cfg)).otherwise(piece).alias("text"),
+                    F.when(is_hit, found).alias("found"))
 
 
 def _observe(step: Detector | Scrubber, cfg: MaskConfig, mask: bool) -> Callable[[Column], Column]:
@@ -42,14 +38,28 @@ def _observe(step: Detector | Scrubber, cfg: MaskConfig, mask: bool) -> Callable
         text, found = state["text"], state["found"]
         if isinstance(step, Scrubber):
             return F.struct(step.replace(text).alias("text"), found.alias("found")) if mask else state
-        after = let(split_matches(text, step.pattern), lambda pieces: F.struct(
-            (join_pieces(pieces, lambda m: step.rewrite(m, cfg)) if mask else text).alias("text"),
-            F.concat(found, _hits(pieces, step, cfg)).alias("found")))
+        entries = F.transform(split_matches(text, step.pattern),
+                              lambda piece, i: _entry(step, piece, i, cfg))
+        after = let(entries, lambda e: F.struct(
+            (F.array_join(e["text"], "") if mask else text).alias("text"),
+            F.concat(found, F.array_compact(e["found"]).cast(_FOUND)).alias("found")))
         return F.when(step.hint(text), after).otherwise(state)
 
     return run
 
 
+def _observe_block(block: Sequence[Detector | Scrubber], cfg: MaskConfig,
+                   mask: bool) -> Callable[[Column], Column]:
+    def run(state: Column) -> Column:
+        states = F.array(state)
+        for step in block:
+            states = F.transform(states, _observe(step, cfg, mask))
+        after, needed = F.element_at(states, 1), any_needed(block)
+        return after if needed is None else F.when(state["text"].rlike(needed), after).otherwise(state)
+
+    return run
+
+
 def findings(df: DataFrame, keep: Sequence[str], text: str, cfg: MaskConfig,
              as_lines: bool = False, chained: bool = True) -> DataFrame:
     """One row per finding: the `keep` columns, then type, pos, value and token.
@@ -69,14 +79,10 @@ def findings(df: DataFrame, keep: Sequence[str], text: str, cfg: MaskConfig,
     else:
         states = F.array(begin(F.col(text)))
     walked = df.select(*keep, states.alias("_states"))
-    # A few detectors per select keep each expression small for the analyzer; the
+    # One select per block keeps each expression small for the analyzer; the
     # optimizer makes one projection of them.
-    chain = active_detectors(cfg)
-    for start in range(0, len(chain), _STEPS_PER_SELECT):
-        states = F.col("_states")
-        for step in chain[start:start + _STEPS_PER_SELECT]:
-            states = F.transform(states, _observe(step, cfg, chained))
-        walked = walked.withColumn("_states", states)
+    for block in blocks_of(active_detectors(cfg)):
+        walked = walked.withColumn("_states", F.transform("_states", _observe_block(block, cfg, chained)))
     found = F.flatten(F.transform("_states", lambda state: state["found"]))
     return walked.select(*keep, F.inline(found))
 

@@ -84,14 +84,22 @@ def mask_log_file(spark: SparkSession, source: str, target: str, cfg: MaskConfig
     return JobResult(n_files=n_files, **counts)
 
 
-def mask_log_dir(spark: SparkSession, source: str, target: str, cfg: MaskConfig) -> JobResult:
+def output_folder(folder: str) -> str:
+    """Where a folder's outputs go when no place is named."""
+    return folder.rstrip("/") + MASKED_SUFFIX
+
+
+def mask_log_dir(spark: SparkSession, source: str, target: str | None, cfg: MaskConfig) -> JobResult:
     """Mask the log files right in a directory into the directory `target`.
 
+    Without a target, outputs go to a folder named after the source.
+
     An output whose name is taken gets a free one, or replaces the old file when
     the configuration says so.
     """
     if path_kind(spark, source) != "directory":
         raise NotADirectoryError(f"no such directory: {source}")
+    target = target or output_folder(source)
     hide_salts(spark)
     existing = spark.createDataFrame([(n,) for n in child_names(spark, target)], "name string")
     folder = qualified(spark, target).rstrip("/")
@@ -120,11 +128,6 @@ def mask_logs(spark: SparkSession, source: str, target: str, cfg: MaskConfig) ->
     return run(spark, source, target, cfg)
 
 
-def output_folder(folder: str) -> str:
-    """Where a folder's outputs go when no place is named."""
-    return folder.rstrip("/") + MASKED_SUFFIX
-
-
 def batch_target(path: str, target_dir: str | None, overwrite: bool) -> str:
     """Where a batch writes one file: `x_sanitized.ext`, or `x.ext` to overwrite."""
     parent, _, name = path.rpartition("/")

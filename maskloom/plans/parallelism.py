@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# Dealing out this much costs next to nothing; more fills the cores by itself.
+SMALL_INPUT_BYTES = 1 << 30
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """`df` over all cores if its input is too small to fill them by itself.
 
     Masking is bound by CPU, and a parquet file is split at row groups at most:
     a small table of one row group would keep one core busy. Such a table is
-    dealt out to all cores. Inputs with at least one full split per core are
-    left alone; at scale nothing is shuffled.
+    dealt out to all cores. Inputs with at least one full split per core, and
+    any beyond a fixed small size, are left alone: at scale nothing is shuffled.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if size < min(cores * split, SMALL_INPUT_BYTES) else df

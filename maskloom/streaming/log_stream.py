@@ -53,3 +53,11 @@ def write_log_stream(masked: DataFrame, target: str, checkpoint: str | None = No
             .option("path", target)
             .option("checkpointLocation", checkpoint or checkpoint_folder(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def mask_log_stream(spark: SparkSession, directory: str, target: str, cfg: MaskConfig,
+                    checkpoint: str | None = None, max_files: int | None = None,
+                    **trigger) -> StreamingQuery:
+    """Mask the logs of a directory, and those that arrive later, into `target`."""
+    lines = read_log_stream(spark, directory, cfg, max_files)
+    return write_log_stream(mask_stream(lines, "value", cfg), target, checkpoint, **trigger)

@@ -7,7 +7,7 @@ from maskloom import MaskConfig
 from maskloom.plans.jobs import batch_target, mask_log_batch, mask_log_dir, mask_log_file, mask_logs
 from maskloom.sinks.output_names import plan_output_names
 from maskloom.sources import log_files as src
-from maskloom.streaming.log_stream import mask_stream, read_log_stream, write_log_stream
+from maskloom.streaming.log_stream import mask_log_stream
 
 CFG = MaskConfig.default("")
 MAIL = token("EMAIL", "a@b.de")
@@ -105,6 +105,12 @@ def test_directory_avoids_taken_names(spark, tmp_path):
     assert read(tmp_path / "out" / "app.log") == f"{MAIL}\n"
 
 
+def test_directory_without_a_target(spark, tmp_path):
+    write(tmp_path / "in", "app.log", "a@b.de\n")
+    mask_log_dir(spark, str(tmp_path / "in"), None, CFG)
+    assert read(tmp_path / "in_sanitized" / "app.log") == f"{MAIL}\n"
+
+
 def test_output_names(spark):
     def plan(names, existing, **how):
         table = plan_output_names(spark.createDataFrame([(n,) for n in names], "name string"),
@@ -171,9 +177,7 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     write(logs, "skip_sanitized.log", "a@b.de\n")
 
     def run():
-        stream = mask_stream(read_log_stream(spark, str(logs), CFG, max_files=1), "value", CFG)
-        query = write_log_stream(stream, out, checkpoint=state)
-        query.awaitTermination()
+        mask_log_stream(spark, str(logs), out, CFG, checkpoint=state, max_files=1).awaitTermination()
 
     run()
     write(logs, "two.log", "later a@b.de\n")

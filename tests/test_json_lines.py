@@ -70,3 +70,11 @@ def test_escaped_values_are_found(apply):
 def test_detection_can_be_off(apply):
     cfg = MaskConfig.default("", detect_json=False)
     assert masked(apply, ['{"e": "test@example.com"}'], cfg) == [f'{{"e": "{MAIL}"}}']
+
+
+def test_odd_strings(apply):
+    long = "x" * (1 << 20)
+    lines = [f'{{"a": "{long} test@example.com"}}', '{"a": "\\ud800 test@example.com"}']
+    out = masked(apply, lines)
+    assert out[0] == f'{{"a":"{long} {MAIL}"}}'
+    assert MAIL in out[1]
