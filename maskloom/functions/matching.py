@@ -67,5 +67,7 @@ def literal_replacement(text: str) -> str:
 
 def any_literal(terms: tuple[str, ...]) -> str:
     """A pattern for any of the terms, each taken literally."""
-    quoted = ("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in terms)
-    return "(?:" + "|".join(quoted) + ")"
+    def quote(char: str) -> str:
+        return char if char.isalnum() or not char.isascii() else "\\" + char
+
+    return "(?:" + "|".join("".join(map(quote, term)) for term in terms) + ")"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, functions as F
 from maskloom.config import ALLOWED_WORDS, MaskConfig
 from maskloom.functions import patterns as rx
 from maskloom.functions.matching import any_literal, literal_replacement, unshield
-from maskloom.functions.patterns import any_word
+from maskloom.functions.patterns import any_word, spelled_out
 from maskloom.functions.tokens import key_token, type_code
 
 
@@ -74,6 +74,10 @@ class Detector:
     take_apart: Callable[[Column], Hit]
     trigger: str | None = None
 
+    @property
+    def regex(self) -> str:
+        return spelled_out(self.pattern)
+
     def rewrite(self, match: Column, cfg: MaskConfig) -> Column:
         hit = self.take_apart(match)
         new = hit.replacement(hit.token(cfg), cfg)
@@ -93,7 +97,7 @@ class Scrubber:
     needs: tuple[str, ...] = ()
 
     def replace(self, text: Column) -> Column:
-        new = F.regexp_replace(text, self.pattern, literal_replacement(self.constant))
+        new = F.regexp_replace(text, spelled_out(self.pattern), literal_replacement(self.constant))
         return F.when(looks_like(text, self.needs), new).otherwise(text) if self.needs else new
 
 
@@ -181,7 +185,8 @@ def _named(type_name: str) -> Callable[[Column], Hit]:
 
 def looks_like(text: Column, needs: tuple[str, ...]) -> Column:
     """Whether the text has everything a detector needs, cheapest test first."""
-    tests = [F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(need) for need in needs]
+    tests = [F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(spelled_out(need))
+             for need in needs]
     return reduce(lambda one, other: one & other, tests)
 
 
@@ -204,7 +209,7 @@ def any_needed(steps: Sequence[Detector | Scrubber]) -> str | None:
         else:
             patterns.append(f"(?:{step.needs[0]})")
     one_class = [f"[{''.join(dict.fromkeys(characters))}]"] if characters else []
-    return "|".join(one_class + list(dict.fromkeys(patterns)))
+    return spelled_out("|".join(one_class + list(dict.fromkeys(patterns))))
 
 
 _DIGIT = r"\p{Nd}"

@@ -25,7 +25,7 @@ _BLOCK = 14
 def _step(step: Detector | Scrubber, text: Column, cfg: MaskConfig) -> Column:
     if isinstance(step, Scrubber):
         return step.replace(text)
-    pieces = split_matches(text, step.pattern)
+    pieces = split_matches(text, step.regex)
     masked = join_pieces(pieces, lambda m: step.rewrite(m, cfg))
     return F.when(step.hint(text), masked).otherwise(text)
 

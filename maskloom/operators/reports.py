@@ -38,7 +38,7 @@ def _observe(step: Detector | Scrubber, cfg: MaskConfig, mask: bool) -> Callable
         text, found = state["text"], state["found"]
         if isinstance(step, Scrubber):
             return F.struct(step.replace(text).alias("text"), found.alias("found")) if mask else state
-        entries = F.transform(split_matches(text, step.pattern),
+        entries = F.transform(split_matches(text, step.regex),
                               lambda piece, i: _entry(step, piece, i, cfg))
         after = let(entries, lambda e: F.struct(
             (F.array_join(e["text"], "") if mask else text).alias("text"),

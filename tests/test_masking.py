@@ -109,11 +109,12 @@ def test_fqdn_endings(apply):
 
 
 def test_terms_and_site_words(apply):
-    cfg = MaskConfig.default("", scrub_terms=["contoso", "a.b$c"], site_words=["XYZ"])
-    out = apply(["https://www.Contoso.com/x", "in xyz now", "XYZ1 a.b$c axb$c"],
+    cfg = MaskConfig.default("", scrub_terms=["contoso", "a.b$c", "[a-c]\\d"], site_words=["XYZ"])
+    out = apply(["https://www.Contoso.com/x", "in xyz now", "XYZ1 a.b$c axb$c",
+                 "b1 [A-C]\\d"],
                 lambda c: mask_text(c, cfg))
     assert out == [f"https://{token('FQDN', 'www.')}[DOMAIN-LC].com/x", "in [SITE-CODE] now",
-                   "XYZ1 [DOMAIN-LC] axb$c"]
+                   "XYZ1 [DOMAIN-LC] axb$c", "b1 [DOMAIN-LC]"]
 
 
 def test_placeholder_is_taken_literally(apply):
@@ -203,6 +204,27 @@ def test_plan_has_no_shuffle_and_no_python(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_every_match_has_what_its_detector_needs(spark):
+    """The quick tests, for a step and for a block, never rule out a real match."""
+    from maskloom.operators import detectors as d
+
+    lines = spark.createDataFrame([(v[0],) for v in VECTORS], "value string")
+    steps = d.ALWAYS + d.ON_REQUEST
+    text = F.col("value")
+    wrong = [F.sum((text.rlike(s.pattern) & ~(d.looks_like(text, s.needs)
+                                              & text.rlike(d.any_needed([s])))).cast("int"))
+             for s in steps]
+    found = [F.sum(text.rlike(s.pattern).cast("int")) for s in steps]
+    assert set(lines.select(*wrong).first()) == {0}
+    assert all(lines.select(*found).first())
+
+
+def test_spelled_out_ranges():
+    from maskloom.functions.patterns import spelled_out
+
+    assert spelled_out(r"a-c[a-c_-]\[0-2\][^x-z\]0-1]{0-9}") == r"a-c[abc_-]\[0-2\][^xyz\]01]{0-9}"
+
+
 def test_config_checks():
     with pytest.raises(TypeError):
         MaskConfig()
