@@ -281,8 +281,9 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "customer", F.expr(_SOURCE_NAME).alias("name"))
-    taken = _table(spark, sf_dir, "orders", F.expr(_TAKEN_NAME).alias("name"))
+    customers, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    names = customers.select(F.expr(_SOURCE_NAME).alias("name"))
+    taken = orders.select(F.expr(_TAKEN_NAME).alias("name"))
     return plan_output_names(names, taken)
 
 

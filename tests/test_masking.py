@@ -25,23 +25,24 @@ VECTORS = [
     ("gw 2001:db8::1 up", DEFAULT, None, "gw [IP6-A54DD0]1 up"),
     ("took 1:02:03 total", DEFAULT, None, "took [IP6-5EDB48] total"),
     ("mac aa:bb:cc:dd:ee:ff", DEFAULT, None, "mac [IP6-C1582E]"),
-    ("\\\\SERVER\\SMS_GYC\\inbox", DEFAULT, None, "\\\\SERVER\\SMS_[SITE-FA4BA1]\\inbox"),
-    ("root\\sms\\site_GYC", DEFAULT, None, "root\\sms\\site_[SITE-FA4BA1]"),
+    ("\\\\SERVER\\SMS_PRI\\inbox", DEFAULT, None, f"\\\\SERVER\\SMS_{token('SITE', 'PRI')}\\inbox"),
+    ("root\\sms\\site_PRI", DEFAULT, None, f"root\\sms\\site_{token('SITE', 'PRI')}"),
     ("CN=ACME-DC01-CA,DC=corp,DC=local", DEFAULT, "***",
      f"CN={token('DN', 'ACME-DC01-CA')},DC=[DN-91B9DC],DC=[DN-91B9DC]"),
-    ("[SiteCode]=[GYC]", DEFAULT, "***", "[SiteCode]=[SITE-FA4BA1]"),
-    ("SITE=GYC", DEFAULT, None, "SITE=[SITE-FA4BA1]"),
-    ("DatabaseName = CM_GYC", DEFAULT, None, "DatabaseName = [DB-F3FB05]"),
+    ("[SiteCode]=[PRI]", DEFAULT, "***", f"[SiteCode]={token('SITE', 'PRI')}"),
+    ("SITE=PRI", DEFAULT, None, f"SITE={token('SITE', 'PRI')}"),
+    ("DatabaseName = CM_PRI", DEFAULT, None, f"DatabaseName = {token('DB', 'CM_PRI')}"),
     ("SQLServerName: PROD-DB", DEFAULT, None, "SQLServerName: [SRV-9331A8]"),
-    ("Data Source=sql01; Initial Catalog=CM_GYC; User ID=sa; Password=pass123;", DEFAULT, None,
-     "Data Source=[SRV-95C626]; Initial Catalog=[DB-56E2FE]; User ID=[SEC-4CF682]; "
-     "Password=[SEC-9B8769];"),
+    ("Data Source=sql01; Initial Catalog=CM_PRI; User ID=sa; Password=pass123;", DEFAULT, None,
+     f"Data Source=[SRV-95C626]; Initial Catalog={token('DB', token('DB', 'CM_PRI'))}; "
+     "User ID=[SEC-4CF682]; Password=[SEC-9B8769];"),
     ("Data Source=server;Pwd=secret123;Uid=admin;", ("ConnectionStringPassword",), "***",
      "Data Source=[SRV-F36349];Pwd=***;Uid=***;"),
     ("Server=myServerAddress;Database=myDataBase;User Id=myUsername;Password=myPassword;",
      ("ConnectionStringPassword",), "***",
      "Server=[SRV-910ED0];Database=[DB-EF9D00];User Id=***;Password=***;"),
-    ("Request: https://sccm01.contoso.com/App", DEFAULT, None, "Request: https://[FQDN-2356E7]/App"),
+    ("Request: https://app01.contoso.com/App", DEFAULT, None,
+     f"Request: https://{token('FQDN', 'app01.contoso.com')}/App"),
     ("Card 4532-1234-5678-9010 and UUID 123e4567-e89b-12d3-a456-426614174000", DEFAULT, None,
      "Card [CC-29738F] and UUID 123e4567-e89b-12d3-a456-426614174000"),
     ("GSM +90 532 123 45 67 ok", DEFAULT, None, "GSM [PHN-24045C] ok"),

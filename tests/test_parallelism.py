@@ -1,0 +1,14 @@
+import pyspark.sql.functions as F
+
+from maskloom.plans import parallelism
+
+
+def test_only_small_inputs_are_spread(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "one")
+    spark.range(100).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    spread = parallelism.spread_small(table)
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread.agg(F.sum("id")).first()[0] == 4950
+    monkeypatch.setattr(parallelism, "SMALL_INPUT_BYTES", 0)
+    assert parallelism.spread_small(table) is table
