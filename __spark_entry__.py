@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import sql_chain as sql
-from checks.sql_chain import Chain, Stage, apply_stage, tok
+from checks.sql_chain import Chain, Stage, tok
 from maskloom import MaskConfig, findings, mask_columns, mask_line, mask_text
 from maskloom.config import TYPE_CODES
 from maskloom.functions.tokens import key_token, type_code, typed_token

@@ -32,7 +32,3 @@ def child_names(spark: SparkSession, directory: str) -> list[str]:
         return []
     statuses = file_system(spark, directory).listStatus(hadoop_path(spark, directory))
     return [status.getPath().getName() for status in statuses]
-
-
-def is_hidden(name: str) -> bool:
-    return name.startswith(("_", "."))
