@@ -22,6 +22,15 @@ from maskloom.operators import reports
 from maskloom.plans.parallelism import spread_small
 from maskloom.sinks.output_names import plan_output_names
 
+try:
+    import corpus_pipeline
+    from maskloom.llm.queries import QUERIES as LLM_QUERIES, SQL as LLM_SQL
+except ImportError:
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = {**LLM_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 DEFAULT = MaskConfig.default("")
@@ -379,11 +388,13 @@ def queries() -> dict[str, Query]:
     """Every operator as a query: (spark, folder of the tables) -> DataFrame."""
     return {**{name: _line_query(name) for name in _LINES},
             **{name: _text_query(name) for name in _TEXTS},
-            **{name: query for name, (query, _) in _PLAIN.items()}}
+            **{name: query for name, (query, _) in _PLAIN.items()},
+            **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same queries for DuckDB."""
     return {**{name: _line_sql(name) for name in _LINES},
             **{name: _text_sql(name) for name in _TEXTS},
-            **{name: statement for name, (_, statement) in _PLAIN.items()}}
+            **{name: statement for name, (_, statement) in _PLAIN.items()},
+            **LLM_SQL}
