@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,3 +52,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(hadoop).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+Span = tuple[str, int, int]
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
+
+
+def digest(spans: list[Span]) -> str:
+    return hashlib.sha256(joined(spans).encode()).hexdigest()
+
+
+def apart_from(spans: list[Span], others: list[Span]) -> list[Span]:
+    """Those of spans that overlap none of others."""
+    ends = sorted((s, e) for _, s, e in others)
+    starts = [s for s, _ in ends]
+    highest = list(accumulate((e for _, e in ends), max))
+    free = []
+    for span in spans:
+        before = bisect_left(starts, span[2])
+        if not before or highest[before - 1] <= span[1]:
+            free.append(span)
+    return free
