@@ -7,7 +7,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +38,9 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "option": ({"option"}, {"select"})}
 _FENCE = frozenset("table td th button object".split())
 
+#: Block elements in a path at most, the innermost ones.
+PATH_LENGTH = 8
+
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -46,7 +49,7 @@ _WORD = re.compile(r"[a-z]+")
 
 @dataclass(slots=True)
 class Open:
-    """An open element: its label for paths, and whether it stands in dropped or main parts."""
+    """An open element: its nearest block elements as a path, and whether it stands in dropped or main parts."""
     name: str
     path: str
     dropped: bool
@@ -79,7 +82,9 @@ def _open(name: str, attributes: str, parent: Open) -> Open:
         main = main or (not words.isdisjoint(_MAIN_WORDS) and name in ("div", "section", "td"))
     if name == "header" and parent.main and not parent.dropped:
         dropped = False  # of the article itself: its headings are text, see blocks()
-    path = f"{parent.path}/{label}" if name in _BLOCK else parent.path
+    path = parent.path
+    if name in _BLOCK:
+        path = "/".join([*path.split("/")[-PATH_LENGTH + 1:], label])
     return Open(name, path, parent.dropped or dropped, parent.main or main)
 
 
@@ -89,6 +94,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     buffer: list[str] = []
     tag = _TAG
+    n_open: Counter[str] = Counter()
     byline = 0  # open header elements inside the article
 
     def flush() -> None:
@@ -104,6 +110,10 @@ def blocks(html: str) -> list[Block]:
         nonlocal byline
         flush()
         byline -= sum(o.name == "header" for o in stack[at:])
+        forget(at)
+
+    def forget(at: int) -> None:
+        n_open.subtract(o.name for o in stack[at:])
         del stack[at:]
 
     at, size = 0, len(html)
@@ -136,12 +146,12 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if name == "br":
                 buffer.append(" ")
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if n_open[name] > 0 else ():
                 if stack[depth].name == name:
                     if name in _BLOCK or any(o.name in _BLOCK for o in stack[depth:]):
                         close(depth)
                     else:
-                        del stack[depth:]
+                        forget(depth)
                     break
             continue
         if name in _RAW:
@@ -156,7 +166,7 @@ def blocks(html: str) -> list[Block]:
         if name in _BLOCK:
             flush()
             group, fence = _ENDS.get(name, ({"p"}, _FENCE))
-            if name in _ENDS or name not in ("html", "body", "head"):
+            if any(n_open[x] > 0 for x in group):
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].name in group:
                         close(depth)
@@ -169,6 +179,7 @@ def blocks(html: str) -> list[Block]:
             if name not in _BLOCK and opened.dropped and not stack[-1].dropped:
                 flush()
             stack.append(opened)
+            n_open[name] += 1
             byline += name == "header"
     flush()
     return found

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import html_wrappers, licenses, packing, pii, quality, secrets, topk
+from maskloom.llm import decontamination, html_wrappers, licenses, packing, pii, quality, secret_scan, topk
 from maskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.report(docs, pii.fit(docs))
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op2_html": op2_html,
     "op3_top_k": op3_top_k,
     "op4_licenses": op4_licenses,
+    "op6_decontamination": op6_decontamination,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
