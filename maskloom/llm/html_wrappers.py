@@ -133,7 +133,7 @@ def blocks(html: str) -> list[Block]:
             end = html.find(">", start)
             at = size if end < 0 else end + 1
             continue
-        if html[start + 1:start + 2].isalpha() and html.find(">", start) < 0:
+        if html[start + 1:start + 3].lstrip("/")[:1].isalpha() and html.find(">", start) < 0:
             break  # a tag that never ends takes the rest with it
         m = tag.match(html, start)
         if not m and tag is _TAG and html[start + 1:start + 2].isalpha():
