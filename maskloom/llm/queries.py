@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import decontamination, html_wrappers, licenses, near_duplicates, packing, pii, quality, secret_scan, topk
+from maskloom.llm import decontamination, html_wrappers, licenses, near_duplicates, packing, pii, quality, repeats, secret_scan, topk
 from maskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.report(docs, pii.fit(docs))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op4_licenses": op4_licenses,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
+    "op7_repeats": op7_repeats,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
