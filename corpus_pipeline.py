@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last
+return the columns they were given. Documents of poor quality, near duplicates but one of each
+group, and documents with a benchmark passage go; personal data in the others is masked.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import packing
+from maskloom.llm import decontamination, near_duplicates, packing, pii, quality
 from maskloom.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -14,12 +19,36 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from `labels`, scores 0.3 or more."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return near_duplicates.one_of_each(docs, size=5)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of `benchmark` stands."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return pii.redact(docs, pii.fit(docs))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as sequences of tokens, a row per piece."""
     return packing.pack(docs, packing.public_tokenizer())
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("pii", without_personal_data),
     ("packing", packed),
 ]
 
