@@ -185,12 +185,15 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark item stands, unchanged."""
-    for benchmark in benchmark_passes(items):
+    def without(benchmark: Benchmark, docs: DataFrame) -> DataFrame:
         @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, benchmark=benchmark) -> pd.Series:
+        def clean(texts: pd.Series) -> pd.Series:
             out = np.ones(len(texts), bool)
             out[[row for row, *_ in benchmark.find(*_flat(texts))]] = False
             return pd.Series(out)
 
-        docs = docs.where(clean(word_hashes(F.col("text"))))
+        return docs.where(clean(word_hashes(F.col("text"))))
+
+    for benchmark in benchmark_passes(items):
+        docs = without(benchmark, docs)
     return docs
