@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskloom.llm.common import stored, words
 from maskloom.llm.components import components
+from maskloom.llm.membership import perhaps_among
 
 #: Orders of the forest, and hash values that two texts must at least share at the head of an order.
 ORDERS, LEAST_DEPTH = 21, 3
@@ -164,7 +165,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                                 "shingles": [np.unique(flat[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]})
 
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    needed = keyed.join(wanted, ["doc_id", "text_hash"], "left_semi")
+    near = keyed.where(perhaps_among(wanted, "doc_id", "text_hash"))
+    needed = near.join(wanted.hint("merge"), ["doc_id", "text_hash"], "left_semi")
     return hashed_words(needed).mapInPandas(run, "rep long, shingles binary")
 
 
@@ -183,7 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return both.where(linked("sa", "sb")).select("a", "b").distinct()
 
 
@@ -205,11 +207,29 @@ def links(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     so_far = components(found)
     by = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rest = pairs.join(chosen, ["a", "b"], "left_anti").join(by("a"), "a", "left").join(by("b"), "b", "left")
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    more = stored(confirmed(rest.where(apart), sets), "links")
+    apart = stored(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
+    ends = stored(apart.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
+    more = stored(confirmed(apart, sets.join(ends, "rep", "left_semi")), "links")
     return components(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
+def decided(docs: DataFrame, size: int) -> DataFrame:
+    """report() with text_hash, the hash of each row's text."""
+    signed = stored(signatures(docs, size), "signatures")
+    usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    smallest = F.min(F.struct("doc_id", "text_hash"))
+    classes = stored(usable.groupBy("set_a", "set_b").agg(smallest.alias("m"), F.min("signature").alias("signature"))
+                     .select("set_a", "set_b", F.col("m.doc_id").alias("rep"), F.col("m.text_hash").alias("text_hash"),
+                             "signature"), "classes")
+    found = links(docs, classes, size)
+    named = (classes.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
+    out = signed.drop("signature").join(named, ["set_a", "set_b"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    return (out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
 def report(docs: DataFrame, size: int = 5) -> DataFrame:
     """Per document the size of its shingle set and the component of near duplicates that it is in.
 
@@ -222,30 +242,25 @@ def report(docs: DataFrame, size: int = 5) -> DataFrame:
     linked; a null doc_id is linked with nothing, has no component and is kept; an empty table
     gives no rows; other columns are not read.
     """
-    signed = stored(signatures(docs, size), "signatures")
-    usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    smallest = F.min(F.struct("doc_id", "text_hash"))
-    classes = stored(usable.groupBy("set_a", "set_b").agg(smallest.alias("m"), F.min("signature").alias("signature"))
-                     .select("set_a", "set_b", F.col("m.doc_id").alias("rep"), F.col("m.text_hash").alias("text_hash"),
-                             "signature"), "classes")
-    found = links(docs, classes, size)
-    named = (classes.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return (out.select("doc_id", "n_shingles", component.alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return decided(docs, size).drop("text_hash")
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """The documents, unchanged, without near duplicates: of each component the smallest doc_id stays, once.
 
-    Rows without doc_id stay. The ids that go, and those that stand in several rows, are
-    written first: where they are few Spark sends them to the tasks, else it joins by id.
+    Rows without doc_id stay; so do different texts of one doc_id. Only rows that may be
+    among those that go or that stand in the table twice are joined; all others pass without
+    a shuffle.
     """
-    decided = stored(report(docs, size), "decided").where(F.col("doc_id").isNotNull())
-    gone = stored(decided.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    twice = stored(decided.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    staying = docs.join(gone, "doc_id", "left_anti")
-    single = staying.join(twice, "doc_id", "left_anti")
-    return single.unionByName(staying.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    known = stored(decided(docs, size), "decided").where(F.col("doc_id").isNotNull())
+    # What isn't one row that stays: doc_id, text_hash, and whether one of the rows stays.
+    unsettled = stored(known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
+                       .where((F.col("n") > 1) | ~F.col("stays")).select("doc_id", "text_hash", "stays"), "unsettled")
+    key = ["doc_id", "text_hash"]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    perhaps = F.col("doc_id").isNotNull() & perhaps_among(unsettled, *key)
+    met = rows.where(perhaps)
+    free = met.join(unsettled.hint("merge"), key, "left_anti")
+    once = met.join(unsettled.where("stays").hint("merge"), key, "left_semi").dropDuplicates(key)
+    return rows.where(~perhaps).unionAll(free.select(rows.columns)).unionAll(once.select(rows.columns)).select("row.*")
