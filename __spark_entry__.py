@@ -15,11 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import sql_chain as sql
 from checks.sql_chain import Chain, Stage, tok
 from maskloom import MaskConfig, findings, mask_columns, mask_line, mask_text
-from maskloom.config import TYPE_CODES
 from maskloom.functions.tokens import key_token, type_code, typed_token
 from maskloom.operators import masking as m
 from maskloom.operators import reports
-from maskloom.plans.parallelism import spread_small
 from maskloom.sinks.output_names import plan_output_names
 
 try:
@@ -37,12 +35,12 @@ DEFAULT = MaskConfig.default("")
 ALL = MaskConfig.all_types("")
 SALTED = MaskConfig.default("pepper")
 MIXED = MaskConfig.all_types("", hashing=False, placeholder="$1 <***>")
-TERMS = MaskConfig("", scrub_terms=("example", "a.b$c"))
+TERMS = MaskConfig("", scrub_terms=("example", "a.b$c", "éle"))
 WORDS = MaskConfig("", site_words=("div", "customer"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 # --- Lines built from columns ---------------------------------------------------
@@ -74,8 +72,8 @@ _LINES: dict[str, tuple[Callable, str, str, str, str]] = {
         f"'Authorization: Bearer ' || {_t('TOKEN', f"'bearer  t' || {_O} || '.x=='")} || ' rest'"),
     "mask_ipv6": (
         lambda c: m.mask_ipv6(c, DEFAULT), "customer", "c_custkey",
-        f"'at 10:11:12 peer fe80::' || {_HEX} || '%3 gw 2001:db8:0:0:0:0:0:' || {_HEX} || '%eth0 up'",
-        f"'at 10:11:12 peer ' || {_t('IP6', f"'fe80::' || {_HEX} || '%3'")} || ' gw ' || "
+        f"'at 10:11:12 1:2:3 a:b:c peer fe80::' || {_HEX} || '%3 gw 2001:db8:0:0:0:0:0:' || {_HEX} || '%eth0 up'",
+        f"'at 10:11:12 1:2:3 a:b:c peer ' || {_t('IP6', f"'fe80::' || {_HEX} || '%3'")} || ' gw ' || "
         f"{_t('IP6', f"'2001:db8:0:0:0:0:0:' || {_HEX}")} || ' up'"),
     "mask_site_paths": (
         lambda c: m.mask_site_paths(c, DEFAULT), "supplier", "s_suppkey",
@@ -153,7 +151,7 @@ def _line_query(name: str) -> Query:
     masking, table, key, line, _ = _LINES[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spread_small(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         return df.select(key, F.expr(line).alias("line")).select(
             key, "line", masking(F.col("line")).alias("masked"))
 
@@ -182,7 +180,7 @@ _TEXTS: dict[str, tuple[Callable, str, tuple[str, ...], str, tuple]] = {
     "mask_key_values_urls": (lambda c: m.mask_key_values(c, DEFAULT), "pages", ("page_id",), "url",
                              (sql.KEY_VALUE,)),
     "scrub_terms": (lambda c: m.scrub_terms(c, TERMS), "documents", ("doc_id",), "text",
-                    ((r"(?i)example|a\.b\$c", "[DOMAIN-LC]"),)),
+                    ((r"(?i)example|a\.b\$c|éle", "[DOMAIN-LC]"),)),
     "scrub_site_words": (lambda c: m.scrub_site_words(c, WORDS), "pages", ("page_id",), "html",
                          ((r"(?i)\b(?:div|customer)\b", "[SITE-CODE]"),)),
     "mask_documents_default": (lambda c: mask_text(c, DEFAULT), "documents", ("doc_id",), "text",
@@ -206,7 +204,7 @@ def _text_sql(name: str) -> str:
 
 # --- Tokens and JSON ----------------------------------------------------------------
 
-_TYPES = [*TYPE_CODES, "SomethingElse"]
+_TYPES = [*sql.TYPE_CODES, "SomethingElse"]
 
 
 def _typed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +214,7 @@ def _typed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPE_SQL = f"list_value({', '.join(f"'{t}'" for t in _TYPES)})[c_custkey % {len(_TYPES)} + 1]"
-_CODE_SQL = ("CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in TYPE_CODES.items())
+_CODE_SQL = ("CASE type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in sql.TYPE_CODES.items())
              + " ELSE 'ID' END")
 
 
@@ -279,10 +277,7 @@ def token_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _documents(spark, sf_dir)
-    masked = documents.select(mask_text(F.col("text"), DEFAULT).alias("text"))
-    vault = reports.token_vault(findings(documents, [], "text", DEFAULT))
-    return reports.residual_audit(masked, "text", vault, ALL)
+    return reports.audit_masking(_documents(spark, sf_dir), "text", DEFAULT, ALL)
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,18 @@ from dataclasses import dataclass
 
 FENCE, GROUP, STOP = "\x01", "\x02", "\x03"
 
+# --- Fixed values: what results must agree with ---------------------------------
+TYPE_CODES = {
+    "IPv4Address": "IP4", "IPv6Address": "IP6", "Email": "EML", "CreditCard": "CC",
+    "SocialSecurityNumber": "SSN", "PhoneNumber": "PHN", "IBAN": "IBAN", "Hostname": "HOST",
+    "FQDN": "FQDN", "DomainUser": "USR", "Username": "USR", "CertificateThumbprint": "THUMB",
+    "BearerToken": "TKN", "ConnectionStringPassword": "SEC",
+}
 ALLOWED = ("manager", "files", "system", "authority", "network", "service", "component",
            "configuration", "microsoft", "windows", "program", "local", "adminui", "intune",
            "executive", "monitor")
 EXCLUDED_ENDINGS = ("zip", "exe", "dll", "log", "txt", "png", "core")
+# ----------------------------------------------------------------------------------
 
 
 def text(value: str) -> str:

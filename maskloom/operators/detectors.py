@@ -270,13 +270,13 @@ ON_REQUEST = (IPV4, SSNS, IBANS, THUMBPRINTS, BEARER_AGAIN, CONNECTION_SECRETS,
 
 
 def scrub_terms(terms: tuple[str, ...]) -> Scrubber:
-    pattern = "(?i)" + any_literal(terms)
+    pattern = "(?iu)" + any_literal(terms)
     return Scrubber("scrub_terms", pattern, rx.SCRUBBED_TERM, (pattern,))
 
 
 def scrub_site_words(words: tuple[str, ...]) -> Scrubber:
-    pattern = "(?i)" + any_literal(words)
-    return Scrubber("scrub_site_words", rf"(?iU-u)\b{any_literal(words)}\b", rx.SCRUBBED_SITE, (pattern,))
+    pattern = "(?iu)" + any_literal(words)
+    return Scrubber("scrub_site_words", rf"(?iuU)\b{any_literal(words)}\b", rx.SCRUBBED_SITE, (pattern,))
 
 
 def active_detectors(cfg: MaskConfig) -> list[Detector | Scrubber]:

@@ -15,9 +15,12 @@ from pyspark.sql import Column, functions as F
 
 from maskloom.config import MaskConfig
 from maskloom.functions import patterns as rx
-from maskloom.functions.matching import is_match, shield, split_matches, unshield
+from maskloom.functions.matching import is_match, join_pieces, let, shield, split_matches, unshield
 
 MAX_JSON_DEPTH = 64
+# From this length on a line is shortened before the parser sees it.
+_LONG_LINE = 1 << 20
+_ANY_LENGTH = {"maxStringLen": str(2 ** 31 - 1)}
 
 # Kinds of pieces.
 _GAP, _KEY, _VALUE, _LINE = "gap", "key", "value", "line"
@@ -54,17 +57,33 @@ def is_json_object(line: Column) -> Column:
     The parser stops at the end of the first value, so the line is tried inside
     a list and inside an object; no trailing text is valid in both.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"w":'), line, F.lit("}")))
-    valid = in_list.isNotNull() & in_object.isNotNull()
-    return F.when(has_object_shape(line), valid & _depth_fits(line)).otherwise(False)
+    def valid(text: Column) -> Column:
+        in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        in_object = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
+        return in_list.isNotNull() & in_object.isNotNull() & _depth_fits(text)
+
+    long = F.length(line) > _LONG_LINE
+    return (F.when(~has_object_shape(line), False)
+            .when(long, let(_shortened(line), valid)).otherwise(valid(line)))
+
+
+def _shortened(line: Column) -> Column:
+    """The line with long plain stretches of its string values left out, which is as valid as the line.
+
+    The parser takes strings and documents up to a length only, and no stretch of plain
+    characters makes a string invalid.
+    """
+    # The first few characters may belong to an escape.
+    plain = r'([^"\\\x00-\x1f]{8})[^"\\\x00-\x1f]{64,}+'
+    pieces = split_matches(shield(line), rx.JSON_STRING)
+    return unshield(join_pieces(pieces, lambda piece: F.when(
+        F.endswith(piece, F.lit(":")), piece).otherwise(F.regexp_replace(piece, plain, "$1"))))
 
 
 def _unescape(literal: Column) -> Column:
     """The text of a quoted JSON string."""
     body = F.substring(literal, F.lit(2), F.length(literal) - 2)
-    parsed = F.element_at(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), 1)
-    # What the parser will not take (an overlong string) is masked as it stands.
+    parsed = F.element_at(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>", _ANY_LENGTH), 1)
     return F.when(F.contains(literal, F.lit("\\")), F.coalesce(parsed, body)).otherwise(body)
 
 

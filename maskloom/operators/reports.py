@@ -20,6 +20,7 @@ from maskloom.operators.masking import blocks_of, mask_line
 
 _FOUND = "array<struct<type:string,pos:int,value:string,token:string>>"
 _BRACKETS = r"\A\[|\]\z"
+_TOKEN = r"\A\[(.+)-[0-9A-F]{6}\]\z"
 
 
 def _entry(step: Detector, piece: Column, position: Column, cfg: MaskConfig) -> Column:
@@ -104,9 +105,8 @@ def token_vault(found: DataFrame) -> DataFrame:
 
     Findings masked by a placeholder have no token and are not part of it.
     """
-    form = r"\A\[(.+)-[0-9A-F]{6}\]\z"
-    return (found.select("value", "token").where(F.col("token").rlike(form)).distinct()
-            .select(F.regexp_extract("token", form, 1).alias("prefix"), "value", "token"))
+    return (found.select("value", "token").where(F.col("token").rlike(_TOKEN)).distinct()
+            .select(F.regexp_extract("token", _TOKEN, 1).alias("prefix"), "value", "token"))
 
 
 def correlate_tokens(found: DataFrame, source: str = "source") -> DataFrame:
@@ -127,19 +127,65 @@ def token_collisions(vault: DataFrame) -> DataFrame:
             .where(F.col("n_values") > 1))
 
 
+def _audit_counts(found: DataFrame) -> DataFrame:
+    """Counts per type of what is left. found: inner, known, and type, value and n of what is not known.
+
+    A value counts unless its inner text is known as a token's. The last but one sum has a
+    row for each inner text and task at most, and its lists one entry for each type and spelling
+    in brackets of one inner text.
+    """
+    left = F.when(~F.col("known"), F.struct("type", "value", "n"))
+    return (found.groupBy("inner", "type", "value", "known").agg(F.sum("n").alias("n"))
+            .groupBy("inner").agg(F.max("known").alias("known"), F.collect_list(left).alias("left"))
+            .where(~F.col("known")).select(F.inline("left"))
+            .groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("n_values")))
+
+
 def residual_audit(masked: DataFrame, text: str, vault: DataFrame, cfg: MaskConfig) -> DataFrame:
-    """What the detectors of `cfg` still find in masked text, tokens aside.
+    """What the detectors of `cfg` still find in masked text, the tokens of the vault aside.
 
     Each detector looks at the masked text itself: in a chain, the later ones
-    would find tokens the audit has made. Counts per type and value come first, so the anti join sees each value once
-    and no hot value can swamp a task.
+    would find tokens the audit has made. Findings and tokens meet in one sum, not
+    in a join: a hot value is counted where it is found.
     """
-    inner = F.regexp_replace("value", _BRACKETS, "")
-    left = (findings(masked, [], text, cfg, chained=False).groupBy("type", "value")
-            .agg(F.count("*").alias("n")).withColumn("inner", inner))
-    known = vault.select(F.regexp_replace("token", _BRACKETS, "").alias("inner")).distinct()
-    return (left.join(known, "inner", "left_anti").groupBy("type")
-            .agg(F.sum("n").alias("n"), F.count("*").alias("n_values")))
+    inner = F.regexp_replace("value", _BRACKETS, "").alias("inner")
+    left = findings(masked, [], text, cfg, chained=False).select(
+        inner, "type", "value", F.lit(False).alias("known"), F.lit(1).cast("long").alias("n"))
+    no_text = F.lit(None).cast("string")
+    known = vault.select(F.regexp_replace("token", _BRACKETS, "").alias("inner"), no_text.alias("type"),
+                         no_text.alias("value"), F.lit(True).alias("known"), F.lit(0).cast("long").alias("n"))
+    return _audit_counts(left.unionByName(known))
+
+
+def audit_masking(df: DataFrame, text: str, cfg: MaskConfig, audit: MaskConfig) -> DataFrame:
+    """`residual_audit` of a column masked by `cfg`, in one scan of the text as it was.
+
+    Each text is walked through the chain of `cfg`, and what comes out is looked at by
+    the detectors of `audit` in the same row; the tokens that the chain made are known.
+    """
+    states = F.array(F.struct(shield(F.col(text)).alias("text"), F.array().cast(_FOUND).alias("found")))
+    walked = df.select(states.alias("_states"))
+    for block in blocks_of(active_detectors(cfg)):
+        walked = walked.withColumn("_states", F.transform("_states", _observe_block(block, cfg, True)))
+    walked = walked.withColumn("_audit", F.transform("_states", lambda state: F.struct(
+        state["text"].alias("text"), F.array().cast(_FOUND).alias("found"))))
+    for block in blocks_of(active_detectors(audit)):
+        walked = walked.withColumn("_audit", F.transform("_audit", _observe_block(block, audit, False)))
+
+    def bare(value: Column) -> Column:
+        return F.regexp_replace(value, _BRACKETS, "")
+
+    def flat(states: str) -> Column:
+        return F.flatten(F.transform(states, lambda state: state["found"]))
+
+    tokens = F.filter(flat("_states"), lambda f: f["token"].rlike(_TOKEN))
+    known = F.transform(tokens, lambda f: F.struct(
+        bare(f["token"]).alias("inner"), F.lit(None).cast("string").alias("type"),
+        F.lit(None).cast("string").alias("value"), F.lit(True).alias("known"), F.lit(0).cast("long").alias("n")))
+    left = F.transform(flat("_audit"), lambda f: F.struct(
+        bare(f["value"]).alias("inner"), f["type"].alias("type"), f["value"].alias("value"),
+        F.lit(False).alias("known"), F.lit(1).cast("long").alias("n")))
+    return _audit_counts(walked.select(F.inline(F.concat(known, left))))
 
 
 def run_report(lines: DataFrame, source: str, text: str, cfg: MaskConfig) -> DataFrame:

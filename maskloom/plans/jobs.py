@@ -7,18 +7,20 @@ tokens are to match those of another job.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from maskloom.config import MASKED_SUFFIX, SALT_REDACTION_REGEX, TREE_EXTENSIONS, MaskConfig
 from maskloom.operators.masking import mask_line
-from maskloom.sinks.log_files import check_target, publish_all, staging_folder, write_staged
+from maskloom.sinks.log_files import check_target, part_order, publish_all, staging_folder, write_staged
 from maskloom.sinks.output_names import plan_output_names
-from maskloom.sources.log_files import (
-    list_log_dir, list_log_files, list_log_tree, read_log_dir, read_log_lines)
-from maskloom.sources.paths import child_names, path_kind, qualified
+from maskloom.sources.log_files import open_log_dir, open_log_tree, open_logs, read_listed
+from maskloom.sources.paths import child_names, file_system, hadoop_path, literal, path_kind, qualified
 
 _SHOWN_FAILURES = 10
 
@@ -49,13 +51,20 @@ def hide_salts(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.redaction.string.regex", SALT_REDACTION_REGEX)
 
 
-def _source_key(path_column: str = "source_path"):
-    return F.md5(F.col(path_column))
+class MaskingFailed(OSError):
+    """Some logs of a job failed. `failures` has (name, message) of each, `result` what was done."""
+
+    def __init__(self, result: JobResult):
+        self.result, self.failures = result, result.failures
+        super().__init__(result.summary())
+
+
+def _file_key():
+    return F.md5("part_path")
 
 
 def _mask_and_stage(lines: DataFrame, staging: str, cfg: MaskConfig) -> dict:
-    masked = lines.select(_source_key().alias("source_key"), "line_id",
-                          F.col("value").alias("before"),
+    masked = lines.select(_file_key().alias("file_key"), "line_id", F.col("value").alias("before"),
                           mask_line(F.col("value"), cfg).alias("value"))
     seen = Observation()
     write_staged(masked.observe(
@@ -65,23 +74,48 @@ def _mask_and_stage(lines: DataFrame, staging: str, cfg: MaskConfig) -> dict:
     return {name: int(value or 0) for name, value in seen.get.items()}
 
 
-def _raise_first(failures: list[tuple[str, str]]) -> None:
-    if failures:
-        raise OSError("{}: {}".format(*failures[0]))
+def _name(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
+
+
+def _hidden(paths: Sequence[str]) -> list[tuple[str, str]]:
+    return [(_name(path), f"Spark reads no file of this name: {path}") for path in paths]
+
+
+def _keys_by_log(files: DataFrame, *columns: str):
+    """(row of the columns, keys of the log's files in order, their URIs) for each log, a few rows at a time.
+
+    Rows come sorted by log; of each only its names are held.
+    """
+    rows = (files.select(*columns, "source_path", "part_path", _file_key().alias("key"))
+            .orderBy("source_path", "part_path").toLocalIterator(prefetchPartitions=True))
+    for _, group in groupby(rows, key=lambda row: row["source_path"]):
+        found = sorted(group, key=lambda row: part_order(_name(row["part_path"])))
+        yield found[0], [row["key"] for row in found], [row["part_path"] for row in found]
+
+
+def _finished(result: JobResult) -> JobResult:
+    if result.failures:
+        raise MaskingFailed(result)
+    return result
 
 
 def mask_log_file(spark: SparkSession, source: str, target: str, cfg: MaskConfig) -> JobResult:
-    """Mask one log file into `target`; in place if both are the same path."""
-    if path_kind(spark, source) != "file":
+    """Mask one log, a file or a folder of parts, into the folder `target`; in place if both are the same path."""
+    if path_kind(spark, source) not in ("file", "parts"):
         raise FileNotFoundError(f"no such file: {source}")
     check_target(spark, source, target, cfg.overwrite)
     hide_salts(spark)
+    logs = open_logs(spark, source)
+    if logs.hidden:
+        raise MaskingFailed(JobResult(failures=_hidden(logs.hidden)))
     with staging_folder(spark, target) as staging:
-        counts = _mask_and_stage(read_log_lines(spark, source), staging, cfg)
-        key = list_log_files(spark, source).select(_source_key().alias("key")).first()["key"]
-        n_files, failures = publish_all(spark, staging, [(key, target)], cfg.overwrite)
-    _raise_first(failures)
-    return JobResult(n_files=n_files, **counts)
+        files = logs.files.select("part_path", _file_key().alias("key")).collect()
+        keys = [row["key"] for row in sorted(files, key=lambda row: part_order(_name(row["part_path"])))]
+        counts = _mask_and_stage(logs.lines, staging.path, cfg)
+        n_files, failures = publish_all(spark, staging.path, [(keys, target)], cfg.overwrite)
+        staging.keep = bool(failures)
+    return _finished(JobResult(n_files=n_files, failures=failures, **counts))
 
 
 def output_folder(folder: str) -> str:
@@ -97,26 +131,28 @@ def mask_log_dir(spark: SparkSession, source: str, target: str | None, cfg: Mask
     An output whose name is taken gets a free one, or replaces the old file when
     the configuration says so.
     """
-    if path_kind(spark, source) != "directory":
+    if path_kind(spark, source) not in ("directory", "parts"):
         raise NotADirectoryError(f"no such directory: {source}")
     target = target or output_folder(source)
     hide_salts(spark)
     existing = spark.createDataFrame([(n,) for n in child_names(spark, target)], "name string")
     folder = qualified(spark, target).rstrip("/")
+    logs = open_log_dir(spark, source, cfg)
+    failures = _hidden(logs.hidden)
     with staging_folder(spark, f"{folder}/_") as staging:
-        files = list_log_dir(spark, source, cfg)
-        names = plan_output_names(files.select(F.col("source_file").alias("name")),
+        names = plan_output_names(logs.files.select(F.col("source_file").alias("name")),
                                   existing, cfg.overwrite)
-        planned = files.join(names, files["source_file"] == names["name"]).select(
-            _source_key().alias("key"), F.concat(F.lit(folder + "/"), "output_name").alias("target"))
+        planned = logs.files.join(names, logs.files["source_file"] == names["name"]).select(
+            "source_path", "part_path", F.concat(F.lit(folder + "/"), "output_name").alias("target"))
         # Written down before any output exists: the plan must not see its own results.
-        planned.write.parquet(f"{staging}/_plan")
-        counts = _mask_and_stage(read_log_dir(spark, source, cfg), f"{staging}/lines", cfg)
-        targets = ((row["key"], row["target"])
-                   for row in spark.read.parquet(f"{staging}/_plan").toLocalIterator())
-        n_files, failures = publish_all(spark, f"{staging}/lines", targets, cfg.overwrite)
-    _raise_first(failures)
-    return JobResult(n_files=n_files, **counts)
+        planned.write.parquet(f"{staging.path}/_plan")
+        counts = _mask_and_stage(logs.lines, f"{staging.path}/lines", cfg)
+        file_system(spark, folder).mkdirs(hadoop_path(spark, folder))
+        plan = spark.read.parquet(literal(f"{staging.path}/_plan"))
+        targets = ((keys, row["target"]) for row, keys, _ in _keys_by_log(plan, "target"))
+        n_files, unpublished = publish_all(spark, f"{staging.path}/lines", targets, cfg.overwrite)
+        staging.keep = bool(unpublished)
+    return _finished(JobResult(n_files=n_files, failures=failures + unpublished, **counts))
 
 
 def mask_logs(spark: SparkSession, source: str, target: str, cfg: MaskConfig) -> JobResult:
@@ -124,7 +160,7 @@ def mask_logs(spark: SparkSession, source: str, target: str, cfg: MaskConfig) ->
     kind = path_kind(spark, source)
     if kind is None:
         raise FileNotFoundError(f"no such path: {source}")
-    run = mask_log_file if kind == "file" else mask_log_dir
+    run = mask_log_dir if kind == "directory" else mask_log_file
     return run(spark, source, target, cfg)
 
 
@@ -139,63 +175,102 @@ def batch_target(path: str, target_dir: str | None, overwrite: bool) -> str:
 
 
 def _plan_batch(spark: SparkSession, files: DataFrame, target_dir: str | None,
-                overwrite: bool) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str]]]:
-    """(target -> (key, path)), and the files whose target is taken.
+                overwrite: bool) -> tuple[dict[str, tuple[str, list[str], list[str]]], list[tuple[str, str]]]:
+    """(target -> (URI of the log, keys and URIs of its files)), and the logs whose target is taken.
 
     Holds names only, as Spark's own file index on the driver does.
     """
-    chosen: dict[str, tuple[str, str]] = {}
+    chosen: dict[str, tuple[str, list[str], list[str]]] = {}
     failures: list[tuple[str, str]] = []
     taken: dict[str, set[str]] = {}
-    rows = files.select("source_path", "source_file", _source_key().alias("key")).orderBy("source_path")
-    for row in rows.toLocalIterator():
-        path = spark._jvm.org.apache.hadoop.fs.Path(
-            spark._jvm.java.net.URI(row["source_path"])).toString()
+    for row, keys, parts in _keys_by_log(files, "source_file"):
+        path = unquote(row["source_path"])
         target = batch_target(path, target_dir, overwrite)
         parent, _, name = target.rpartition("/")
-        if not overwrite:
-            if parent not in taken:
-                taken[parent] = set(child_names(spark, parent))
-            if name in taken[parent] or target in chosen:
-                failures.append((row["source_file"], f"output exists already: {target}"))
-                continue
-        chosen[target] = (row["key"], path)
+        if not overwrite and parent not in taken:
+            taken[parent] = set(child_names(spark, parent))
+        if target in chosen or not overwrite and name in taken[parent]:
+            failures.append((row["source_file"], f"output exists already: {target}"))
+        else:
+            chosen[target] = (row["source_path"], keys, parts)
     return chosen, failures
 
 
+_UNREAD = re.compile(r"\b(file:/[^\s,]*|[a-z0-9]+://[^\s,]*)")
+
+
+def _to_blame(error: Exception, sources: set[str]) -> set[str]:
+    """The logs that an error names as unreadable."""
+    named = {"file:/" + url[6:].lstrip("/") if url.startswith("file:/") else url
+             for found in _UNREAD.findall(str(error)) for url in (found, found.rstrip(".:;)]"))}
+    return {source for source in sources if any(url == source or url.startswith(source + "/") for url in named)}
+
+
+def _stage_readable(spark: SparkSession, parts: dict[str, list[str]], staging: str,
+                    cfg: MaskConfig) -> tuple[list[tuple[str, set[str], dict]], list[tuple[str, str]]]:
+    """Stage the logs (URI -> URIs of its files) in as few jobs as can be.
+
+    Gives (folder, logs, counts) of each job, and the logs that can't be read.
+
+    A failed job names the file it failed on, which is left out from then on; where it doesn't, or
+    again and again, the logs are tried by halves. Nothing is published meanwhile.
+    """
+    staged, failures, pending, tries = [], [], [(set(parts), 0)], 0
+    while pending:
+        some, times = pending.pop()
+        if not some:
+            continue
+        tries += 1
+        folder = f"{staging}/{tries}"
+        try:
+            lines = read_listed(spark, [part for source in sorted(some) for part in parts[source]])
+            staged.append((folder, some, _mask_and_stage(lines, folder, cfg)))
+        except Exception as error:
+            message = _first_words(error)
+            bad = _to_blame(error, some) if times < _NAMED_TRIES else set()
+            if len(some) == 1:
+                bad = some
+            failures += [(unquote(_name(source)), message) for source in sorted(bad)]
+            if bad:
+                pending.append((some - bad, times + 1))
+            else:
+                half = sorted(some)
+                pending += [(set(half[:len(half) // 2]), 0), (set(half[len(half) // 2:]), 0)]
+    return staged, failures
+
+
+_NAMED_TRIES = 8
+
+
+def _first_words(error: Exception) -> str:
+    """The first line of an error that says what went wrong."""
+    lines = str(error).split("\n")
+    return next((line.removeprefix(": ") for line in lines if "[" in line), lines[0])
+
+
 def mask_log_batch(spark: SparkSession, paths: Sequence[str], target_dir: str | None,
                    cfg: MaskConfig, extensions: Sequence[str] = TREE_EXTENSIONS) -> JobResult:
-    """Mask files and whole folder trees; a file that fails does not stop the rest.
+    """Mask logs and whole folder trees; a log that fails does not stop the rest.
 
-    All files run as one Spark job. Only if that fails are they run one by one,
-    to find out which of them is to blame.
+    All logs run as one Spark job; one that can't be read costs another job, see `_stage_readable`.
     """
     hide_salts(spark)
     target_dir = qualified(spark, target_dir) if target_dir else None
-    chosen, failures = _plan_batch(spark, list_log_tree(spark, paths, extensions), target_dir,
-                                   cfg.overwrite)
+    logs = open_log_tree(spark, paths, extensions)
+    chosen, failures = _plan_batch(spark, logs.files, target_dir, cfg.overwrite)
+    failures += _hidden(logs.hidden)
     if not chosen:
         return JobResult(failures=failures)
     beside = next(iter(chosen)) if target_dir is None else f"{target_dir.rstrip('/')}/_"
-    try:
-        with staging_folder(spark, beside) as staging:
-            lines = read_log_lines(spark, *(path for _, path in chosen.values()))
-            counts = _mask_and_stage(lines, staging, cfg)
-            n_files, unpublished = publish_all(
-                spark, staging, ((key, target) for target, (key, _) in chosen.items()), cfg.overwrite)
-        return JobResult(n_files=n_files, failures=failures + unpublished, **counts)
-    except Exception:  # the joint run failed, with nothing published: try single files
-        return _mask_one_by_one(spark, chosen, failures, cfg)
-
-
-def _mask_one_by_one(spark: SparkSession, chosen: dict[str, tuple[str, str]],
-                     failures: list[tuple[str, str]], cfg: MaskConfig) -> JobResult:
-    done = []
-    for target, (_, path) in chosen.items():
-        try:
-            done.append(mask_log_file(spark, path, target, cfg))
-        except Exception as error:
-            failures.append((path.rpartition("/")[2], str(error).split("\n", 1)[0]))
-    return JobResult(n_files=len(done), n_lines=sum(r.n_lines for r in done),
-                     n_changed=sum(r.n_changed for r in done),
-                     n_chars=sum(r.n_chars for r in done), failures=failures)
+    n_files, sums = 0, {"n_lines": 0, "n_changed": 0, "n_chars": 0}
+    with staging_folder(spark, beside) as staging:
+        parts = {source: found for source, _, found in chosen.values()}
+        staged, unread = _stage_readable(spark, parts, staging.path, cfg)
+        failures += unread
+        for folder, some, counts in staged:
+            ours = ((keys, target) for target, (source, keys, _) in chosen.items() if source in some)
+            n, unpublished = publish_all(spark, folder, ours, cfg.overwrite)
+            n_files, failures = n_files + n, failures + unpublished
+            staging.keep = staging.keep or bool(unpublished)
+            sums = {name: sums[name] + counts[name] for name in sums}
+    return JobResult(n_files=n_files, failures=failures, **sums)

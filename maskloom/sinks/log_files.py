@@ -1,19 +1,21 @@
 """Writing masked logs: one output per input, lines in their order.
 
-Masked lines are first written to a staging folder, one subfolder per source.
-No shuffle is needed: Spark hands the splits of a file to tasks in their order,
-so the numbers of the part files follow the lines, and each task only sorts its
-own lines by source. Then each subfolder is moved to its final name, which
-touches names and no data. A source that fitted one task becomes a plain file,
-a larger one a folder of parts in line order, which Spark reads like a file.
+Masked lines are first written to a staging folder, one subfolder per file read. No
+shuffle is needed: Spark hands the splits of a file to tasks in their order, so
+the numbers of the part files follow the lines, and each task only sorts its own
+lines by file. Then the parts of each log are moved to its final name, which touches
+names and no data. An output is a folder of parts in line order, whatever its size;
+Spark reads it like a file, and every job takes it as a log again.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,24 +24,34 @@ from maskloom.sources.paths import child_names, file_system, hadoop_path, path_k
 
 _MOVERS = 16
 _MOVES_AT_ONCE = 1024
+_DIGITS = 10
+
+
+@dataclass
+class Staging:
+    """A folder for a job's work. It is removed at the end unless `keep` is set: then outputs are still in it."""
+
+    path: str
+    keep: bool = False
 
 
 @contextmanager
 def staging_folder(spark: SparkSession, beside: str):
-    """The name of a new folder next to `beside`; removed at the end, come what may."""
+    """A new folder next to `beside`."""
     parent = hadoop_path(spark, qualified(spark, beside)).getParent().toString()
-    staging = f"{parent.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    staging = Staging(f"{parent.rstrip('/')}/_staging-{uuid.uuid4().hex}")
     try:
         yield staging
     finally:
-        file_system(spark, staging).delete(hadoop_path(spark, staging), True)
+        if not staging.keep:
+            file_system(spark, staging.path).delete(hadoop_path(spark, staging.path), True)
 
 
 def write_staged(lines: DataFrame, staging: str) -> None:
-    """Write `value` by `source_key`, ordered by `line_id` within each source."""
-    (lines.sortWithinPartitions("source_key", "line_id")
-     .select("source_key", "value")
-     .write.mode("errorifexists").partitionBy("source_key").text(staging))
+    """Write `value` by `file_key`, ordered by `line_id` within each file."""
+    (lines.sortWithinPartitions("file_key", "line_id")
+     .select("file_key", "value")
+     .write.mode("errorifexists").partitionBy("file_key").text(staging))
 
 
 def same_path(spark: SparkSession, one: str, other: str) -> bool:
@@ -60,54 +72,82 @@ def check_target(spark: SparkSession, source: str, target: str, overwrite: bool)
         raise FileExistsError(f"output exists already: {target}")
 
 
-def publish(spark: SparkSession, staged: str, target: str, overwrite: bool) -> bool:
-    """Move the staged parts of one source to the path `target`.
+def part_order(name: str) -> tuple[int, str]:
+    """Sorts part files by their number, of however many digits."""
+    number = re.match(r"part-(\d+)", name)
+    return (int(number[1]) if number else -1, name)
+
+
+def part_name(number: int) -> str:
+    """A part file's name; names sort like their numbers."""
+    return f"part-{number:0{_DIGITS}d}.txt"
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    if not file_system(spark, target).rename(hadoop_path(spark, source), hadoop_path(spark, target)):
+        raise OSError(f"could not move {source} to {target}")
 
-    Tells whether there were any; a source without lines becomes an empty file.
+
+def _gather(spark: SparkSession, staged: Sequence[str], into: str) -> int:
+    """All parts of the staged folders, in their order, in one folder; how many there were."""
+    fs = file_system(spark, into)
+    fs.mkdirs(hadoop_path(spark, into))
+    n = 0
+    for folder in staged:
+        for name in sorted((p for p in child_names(spark, folder) if p.startswith("part-")), key=part_order):
+            _rename(spark, f"{folder}/{name}", f"{into}/{part_name(n)}")
+            n += 1
+    if not n:
+        fs.create(hadoop_path(spark, f"{into}/{part_name(0)}")).close()
+    return n
+
+
+def publish(spark: SparkSession, staged: Sequence[str], target: str, overwrite: bool) -> int:
+    """Move the staged parts of one log to the folder `target`; how many there were.
+
+    A log without lines becomes a folder with an empty part. What is replaced is moved
+    aside first, and goes when its successor is in place; should that fail, it is put back.
     """
     fs, end = file_system(spark, target), hadoop_path(spark, target)
-    parts = sorted(name for name in child_names(spark, staged) if name.startswith("part-"))
-    if fs.exists(end):
-        if not overwrite:
-            raise FileExistsError(f"output exists already: {target}")
-        fs.delete(end, True)
+    parent, name = end.getParent().toString().rstrip("/"), end.getName()
+    if fs.exists(end) and not overwrite:
+        raise FileExistsError(f"output exists already: {target}")
     fs.mkdirs(end.getParent())
-    if not parts:
-        fs.create(end).close()
-    else:
-        source = f"{staged}/{parts[0]}" if len(parts) == 1 else staged
-        if not fs.rename(hadoop_path(spark, source), end):
-            raise OSError(f"could not move the output to {target}")
-    if len(parts) <= 1:
-        # A local checksum file would turn a later edit of the log into an error.
-        sums = hadoop_path(spark, f"{end.getParent().toString()}/.{end.getName()}.crc")
-        if fs.exists(sums):
-            fs.delete(sums, False)
-    return bool(parts)
-
-
-def publish_all(spark: SparkSession, staging: str, targets: Iterable[tuple[str, str]],
+    fresh, aside = (f"{parent}/_{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
+    n = _gather(spark, staged, fresh)
+    replaces = fs.exists(end)
+    if replaces:
+        _rename(spark, target, aside)
+    try:
+        _rename(spark, fresh, target)
+    except Exception:
+        if replaces:
+            _rename(spark, aside, target)
+        raise
+    if replaces:
+        fs.delete(hadoop_path(spark, aside), True)
+        # A checksum of a file that was replaced.
+        fs.delete(hadoop_path(spark, f"{parent}/.{name}.crc"), False)
+    return n
+
+
+def publish_all(spark: SparkSession, staging: str, targets: Iterable[tuple[Sequence[str], str]],
                 overwrite: bool) -> tuple[int, list[tuple[str, str]]]:
-    """Publish (source key, target) pairs, a bounded number at a time.
+    """Publish (keys of a log's files in order, target) pairs, a bounded number at a time.
 
     Gives the number published, and (name, message) of each that failed.
     """
-    n_staged = sum(name.startswith("source_key=") for name in child_names(spark, staging))
-
-    def move(pair: tuple[str, str]) -> tuple[bool, tuple[str, str] | None]:
+    def move(pair: tuple[Sequence[str], str]) -> tuple[str, str] | None:
         try:
-            return publish(spark, f"{staging}/source_key={pair[0]}", pair[1], overwrite), None
+            publish(spark, [f"{staging}/file_key={key}" for key in pair[0]], pair[1], overwrite)
+            return None
         except Exception as error:
-            return True, (pair[1].rpartition("/")[2], str(error).split("\n", 1)[0])
+            return pair[1].rpartition("/")[2], str(error).split("\n", 1)[0]
 
-    pending, n, n_used, failures = iter(targets), 0, 0, []
+    pending, n, failures = iter(targets), 0, []
     with ThreadPoolExecutor(_MOVERS) as movers:
         while batch := list(islice(pending, _MOVES_AT_ONCE)):
-            moved = list(movers.map(move, batch))
-            n_used += sum(used for used, _ in moved)
-            failed = [failure for _, failure in moved if failure is not None]
+            failed = [failure for failure in movers.map(move, batch) if failure is not None]
             n += len(batch) - len(failed)
             failures.extend(failed)
-    if n_used < n_staged:
-        raise RuntimeError(f"{n_staged - n_used} masked sources have no target")
     return n, failures

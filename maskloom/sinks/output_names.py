@@ -32,34 +32,44 @@ def plan_output_names(sources: DataFrame, existing: DataFrame, overwrite: bool =
     first free one of `x_sanitized.ext`, `x_sanitized_1.ext`, ... is.
 
     The first free number is 0, or one more than some taken number. So the only
-    candidates are the successors of taken names; they are told apart by an anti
-    join on the whole name, a key nothing piles up on, however many copies of
-    one source there are.
+    candidates are the successors of taken names. Sources, taken names and
+    candidates meet in sums over tagged rows, by whole names: a key nothing piles
+    up on, however many copies of one source there are.
     """
-    sources = sources.select("name").distinct()
     if overwrite:
-        return sources.select("name", F.col("name").alias("output_name"))
-    existing = existing.select("name").distinct()
-    kept = sources.join(existing, "name", "left_anti")
-    colliding = sources.join(existing, "name", "left_semi")
-    taken = existing.unionByName(kept).distinct()
+        return sources.select("name", F.col("name").alias("output_name")).distinct()
+    tagged = sources.select("name", F.lit(1).alias("source"), F.lit(0).alias("exists")).unionAll(
+        existing.select("name", F.lit(0), F.lit(1)))
+    names = tagged.groupBy("name").agg(F.max("source").alias("source"), F.max("exists").alias("exists"))
 
     form = rf"(?s)\A(.*){MASKED_SUFFIX}(?:_([1-9][0-9]{{0,17}}))?(\.[^.]+)?\z"
-    number = F.coalesce(F.expr("try_cast(nullif(number, '') as bigint)"), F.lit(0))
-    successors = (taken.where(F.col("name").rlike(form))
-                  .select(F.regexp_extract("name", form, 1).alias("stem"),
-                          F.regexp_extract("name", form, 2).alias("number"),
-                          F.regexp_extract("name", form, 3).alias("extension"))
-                  .select("stem", "extension", (number + 1).alias("k")))
-    families = colliding.select("name", name_stem(F.col("name")).alias("stem"),
-                                name_extension(F.col("name")).alias("extension"))
-    firsts = families.select("stem", "extension", F.lit(0).cast("bigint").alias("k"))
-    candidate = F.concat("stem", F.lit(MASKED_SUFFIX),
-                         F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string")))
-                         .otherwise(""), "extension")
-    free = (successors.unionByName(firsts).withColumn("candidate", candidate)
-            .join(taken.withColumnRenamed("name", "candidate"), "candidate", "left_anti")
+    number = F.coalesce(F.expr("try_cast(nullif(regexp_extract(name, '" + form.replace("\\", "\\\\")
+                               + "', 2), '') as bigint)"), F.lit(0))
+    nothing = F.lit(None).cast("string")
+
+    def row(name, stem, extension, k, taken):
+        """A name as taken, or as a candidate with its family and number."""
+        return F.struct(name.alias("candidate"), stem.alias("stem"), extension.alias("extension"),
+                        k.cast("bigint").alias("k"), F.lit(taken).alias("taken"))
+
+    def candidate(stem, extension, k):
+        numbered = F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise("")
+        return F.concat(stem, F.lit(MASKED_SUFFIX), numbered, extension)
+
+    name = F.col("name")
+    stem, extension = F.regexp_extract(name, form, 1), F.regexp_extract(name, form, 3)
+    first = row(candidate(name_stem(name), name_extension(name), F.lit(0)), name_stem(name), name_extension(name),
+                F.lit(0), False)
+    rows = F.array(row(name, nothing, nothing, F.lit(None), True),
+                   F.when(name.rlike(form), row(candidate(stem, extension, number + 1), stem, extension, number + 1, False)),
+                   F.when((F.col("source") == 1) & (F.col("exists") == 1), first))
+    free = (names.select(F.inline(F.array_compact(rows)))
+            .groupBy("candidate").agg(F.max("taken").alias("taken"), F.collect_set(
+                F.when(~F.col("taken"), F.struct("stem", "extension", "k"))).alias("families"))
+            .where(~F.col("taken")).select(F.inline("families"))
             .groupBy("stem", "extension").agg(F.min("k").alias("k")))
-    renamed = (families.join(free, ["stem", "extension"])
-               .select("name", suffixed_name(F.col("name"), F.col("k")).alias("output_name")))
-    return kept.select("name", F.col("name").alias("output_name")).unionByName(renamed)
+    sources = names.where(F.col("source") == 1).select(
+        "name", "exists", name_stem(name).alias("stem"), name_extension(name).alias("extension"))
+    return (sources.join(free.hint("merge"), ["stem", "extension"], "left")
+            .select("name", F.when(F.col("exists") == 1, suffixed_name(name, F.col("k"))).otherwise(name)
+                    .alias("output_name")))

@@ -3,29 +3,33 @@
 Every reader yields the same columns:
 
 * `value`: the line, with bytes that are no UTF-8 replaced by U+FFFD,
-* `source_file`: the name of the file, `source_path`: its URI, for telling files apart,
-* `line_id`: ascending with the lines of a file.
+* `source_file`: the name of the log, `source_path`: its URI, for telling logs apart,
+* `part_path`: the URI of the file, `line_id`: ascending with the lines of a file.
 
-Names starting with `_` or `.` are hidden from Spark and not read.
+A log is a file, or a folder `name.log` of the parts in which a job has written one. Paths are taken
+as they stand: no character makes a glob of them. Names starting with `_` or `.` are hidden from
+Spark; `hidden_logs` tells which those are, and the jobs report each as failed.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskloom.config import MASKED_LOG_ENDING, TREE_EXTENSIONS, MaskConfig
-from maskloom.sources.paths import path_kind, qualified
+from maskloom.sources.paths import file_system, hadoop_path, is_hidden, literal, matching, path_kind, qualified
 
 
 def clean_extensions(extensions: Sequence[str]) -> list[str]:
     return sorted({e.strip().lower() for e in extensions})
 
 
-def extension_glob(extensions: Sequence[str]) -> str:
-    """A glob for files with one of the extensions, upper or lower case.
+def extension_glob(extensions: Sequence[str], parts: bool = False) -> str:
+    """A glob for files with one of the extensions, upper or lower case, and, if asked for, for parts.
 
     Unlike a filter on names, it prunes while the directory is listed.
     """
@@ -35,6 +39,7 @@ def extension_glob(extensions: Sequence[str]) -> str:
         return char if char.isalnum() or char in "._-" else f"\\{char}"
 
     choices = ["*" + "".join(map(spell, e)) for e in clean_extensions(extensions) if e.startswith(".")]
+    choices += ["part-*"] * parts
     return "{" + ",".join(choices) + "}"
 
 
@@ -62,71 +67,119 @@ def _one_spelling(url: Column) -> Column:
     return F.regexp_replace(url, r"\Afile:/+", "file:/")
 
 
+_PART = r"/part-\d{5,}[^/]*\z"
+
+
+def _log_path(path: Column) -> Column:
+    """The URI of the log that a file is, or is a part of."""
+    parent = F.regexp_replace(path, _PART, "")
+    return F.when(path.rlike(_PART) & (extension_of(parent) != ""), parent).otherwise(path)
+
+
+def log_name(path: Column) -> Column:
+    return F.url_decode(F.replace(F.regexp_extract(path, r"([^/]*)\z", 1), F.lit("+"), F.lit("%2B")))
+
+
 def _lines(df: DataFrame) -> DataFrame:
-    return df.select(F.make_valid_utf8("value").alias("value"),
-                     F.col("_metadata.file_name").alias("source_file"),
-                     _one_spelling(F.col("_metadata.file_path")).alias("source_path"),
-                     F.monotonically_increasing_id().alias("line_id"))
+    path = _one_spelling(F.col("_metadata.file_path"))
+    return (df.select(F.make_valid_utf8("value").alias("value"), path.alias("part_path"),
+                      F.monotonically_increasing_id().alias("line_id"))
+            .select("value", log_name(_log_path(F.col("part_path"))).alias("source_file"),
+                    _log_path(F.col("part_path")).alias("source_path"), "part_path", "line_id"))
 
 
 def _files(df: DataFrame) -> DataFrame:
-    """The files a reader would open, empty ones included, without opening them.
+    """The files a reader opens, empty ones included, without opening them.
 
-    The names come from the file index, which the driver holds in any case.
+    The names come from the file index, which the driver holds in any case; it is the one that
+    the lines of the same reader come from, so both tell of the same files.
     """
     spark = df.sparkSession
     # Joined on the JVM side, for fetching an array costs a round trip per entry.
     urls = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", df._jdf.inputFiles())
-    rows = [(unquote(url.rpartition("/")[2]), url) for url in urls.split("\n") if url]
-    files = spark.createDataFrame(rows, "source_file string, source_path string")
-    return files.withColumn("source_path", _one_spelling(F.col("source_path")))
+    files = spark.createDataFrame([(url,) for url in urls.split("\n") if url], "part_path string")
+    files = files.withColumn("part_path", _one_spelling(F.col("part_path")))
+    path = _log_path(F.col("part_path"))
+    return files.select(log_name(path).alias("source_file"), path.alias("source_path"), "part_path")
+
 
+def _reader(spark: SparkSession, extensions: Sequence[str] | None = None):
+    # As trees: else a folder named like key=value would be taken for a partition.
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader if extensions is None else reader.option("pathGlobFilter", extension_glob(extensions, parts=True))
 
-def _depth(path: Column) -> Column:
-    return F.size(F.split(F.regexp_replace(path, r"\A[A-Za-z0-9+.-]+:/*", ""), "/"))
 
+@dataclass(frozen=True)
+class LogSet:
+    """Logs listed once: `lines` and `files` tell of the same. hidden: paths that Spark doesn't read."""
 
-def _wanted(spark: SparkSession, directory: str, name: Column, path: Column,
-            cfg: MaskConfig) -> Column:
-    """Whether a file lies right in the directory and is a log to be masked."""
-    root = F.lit(qualified(spark, directory).rstrip("/"))
-    return (has_extension(name, cfg.extensions) & ~is_masked_log(name)
-            & (_depth(path) == _depth(root) + 1))
+    lines: DataFrame
+    files: DataFrame
+    hidden: list[str]
 
 
-def _in_directory(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
-    # A plain read takes subfolders named like key=value for partitions and may
-    # refuse the directory. So it is read as a tree, and a filter on the path,
-    # which Spark applies to the list of files, leaves its top level.
-    return _reader(spark, cfg.extensions, recursive=True).text(directory)
+def _log_set(spark: SparkSession, readers: Sequence[DataFrame], hidden: Sequence[str]) -> LogSet:
+    if not readers:
+        none = spark.createDataFrame(
+            [], "value string, source_file string, source_path string, part_path string, line_id long")
+        return LogSet(none, none.select("source_file", "source_path", "part_path"), list(hidden))
+    df, = readers
+    return LogSet(_lines(df), _files(df), list(hidden))
 
 
-def _reader(spark: SparkSession, extensions: Sequence[str] | None = None, recursive: bool = False):
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    return reader if extensions is None else reader.option("pathGlobFilter", extension_glob(extensions))
+def open_logs(spark: SparkSession, *paths: str) -> LogSet:
+    """The given logs, whatever their extension."""
+    hidden = [p for p in paths if is_hidden(p.rstrip("/").rpartition("/")[2])]
+    seen = [literal(p) for p in paths if p not in hidden]
+    return _log_set(spark, [_reader(spark).text(seen)] if seen else [], hidden)
+
+
+def read_listed(spark: SparkSession, part_paths: Sequence[str]) -> DataFrame:
+    """The lines of files by their URIs, as a list of files has them."""
+    return _lines(_reader(spark).text([literal(unquote(path)) for path in part_paths]))
 
 
 def read_log_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """The lines of the given files, whatever their extension."""
-    return _lines(_reader(spark).text(list(paths)))
+    """The lines of the given logs, whatever their extension."""
+    return open_logs(spark, *paths).lines
 
 
 def list_log_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """The given files as a table; nothing of their contents is read."""
-    return _files(_reader(spark).text(list(paths)))
+    """The given logs as a table of files; nothing of their contents is read."""
+    return open_logs(spark, *paths).files
+
+
+def open_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> LogSet:
+    """The logs right in a directory, earlier outputs left out. Folders below it are not listed."""
+    found = matching(spark, f"{literal(directory.rstrip('/'))}/{extension_glob(cfg.extensions)}")
+    wanted = [path for path in found if not path.lower().endswith(MASKED_LOG_ENDING)]
+    hidden = [path for path in wanted if is_hidden(path.rpartition("/")[2])]
+    logs = [path for path in wanted if path not in set(hidden)]
+    if not logs:
+        return _log_set(spark, [], hidden)
+    found = _log_set(spark, [_reader(spark).text([literal(path) for path in logs])], hidden)
+    # Of a folder named like a log only parts are lines of it. Spark applies this to its list of files.
+    depth = len(_segments(qualified(spark, directory))) + 1
+    path = F.col("part_path")
+    ours = (F.size(F.split(F.regexp_replace(path, _SCHEME, ""), "/")) == depth) | (path != F.col("source_path"))
+    return LogSet(found.lines.where(ours), found.files.where(ours), hidden)
+
+
+_SCHEME = r"\A[A-Za-z0-9+.-]+:/*"
+
+
+def _segments(url: str) -> list[str]:
+    return re.sub(_SCHEME, "", url).rstrip("/").split("/")
 
 
 def read_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
-    """The lines of the log files right in a directory, earlier outputs left out."""
-    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
-    df = _in_directory(spark, directory, cfg)
-    return _lines(df.where(_wanted(spark, directory, name, path, cfg)))
+    """The lines of the logs right in a directory, earlier outputs left out."""
+    return open_log_dir(spark, directory, cfg).lines
 
 
 def list_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
-    """The files `read_log_dir` would read."""
-    files = _files(_in_directory(spark, directory, cfg))
-    return files.where(_wanted(spark, directory, F.col("source_file"), F.col("source_path"), cfg))
+    """The files `read_log_dir` reads."""
+    return open_log_dir(spark, directory, cfg).files
 
 
 def tree_roots(spark: SparkSession, paths: Sequence[str],
@@ -137,7 +190,7 @@ def tree_roots(spark: SparkSession, paths: Sequence[str],
     """
     kinds = {path: path_kind(spark, path) for path in dict.fromkeys(paths)}
     urls = {path: qualified(spark, path).rstrip("/") for path, kind in kinds.items() if kind}
-    folders = {urls[p]: p for p, kind in kinds.items() if kind == "directory"}
+    folders = {urls[p]: p for p, kind in kinds.items() if kind in ("directory", "parts")}
 
     def inside_a_folder(url: str) -> bool:
         parents = url.split("/")
@@ -156,34 +209,59 @@ def tree_roots(spark: SparkSession, paths: Sequence[str],
     return tops, files
 
 
-def read_log_tree(spark: SparkSession, paths: Sequence[str],
-                  extensions: Sequence[str] = TREE_EXTENSIONS) -> DataFrame:
-    """The lines of all files in and below the given folders, and of given files.
+def hidden_logs(spark: SparkSession, folder: str, extensions: Sequence[str]) -> list[str]:
+    """The logs in and below a folder that Spark doesn't read for their or their folder's name.
+
+    Goes down level by level, with two listings for each, whatever the number of files.
+    """
+    wanted, found, level = clean_extensions(extensions), [], literal(folder.rstrip("/"))
+    fs = file_system(spark, folder)
+    while matching(spark, f"{level}/*"):
+        for path in matching(spark, f"{level}/[._]*"):
+            name = path.rpartition("/")[2]
+            if not is_hidden(name):
+                continue
+            files = fs.listFiles(hadoop_path(spark, path), True)
+            while files.hasNext():
+                below = files.next().getPath().toString()
+                last = below.rpartition("/")[2]
+                if not last.endswith(".crc") and ("." + last.rpartition(".")[2].lower()) in wanted and "." in last[1:]:
+                    found.append(below)
+        level += "/*"
+    return sorted(set(found))
+
+
+def open_log_tree(spark: SparkSession, paths: Sequence[str],
+                  extensions: Sequence[str] = TREE_EXTENSIONS) -> LogSet:
+    """All logs in and below the given folders, and given files.
 
     Only folders are filtered by extension; paths that do not exist are ignored.
     """
     folders, files = tree_roots(spark, paths, extensions)
-    found = []
-    if folders:
-        found.append(_reader(spark, extensions, recursive=True).text(folders))
-    if files:
-        found.append(_reader(spark).text(files))
-    if not found:
+    if not folders and not files:
         raise FileNotFoundError("none of the given paths exists")
-    lines = [_lines(df) for df in found]
-    return lines[0] if len(lines) == 1 else lines[0].unionByName(lines[1])
+    hidden = [p for p in files if is_hidden(p.rpartition("/")[2])]
+    files = [p for p in files if p not in hidden]
+    for folder in folders:
+        hidden += hidden_logs(spark, folder, extensions)
+    below = _log_set(spark, [_reader(spark, extensions).text([literal(p) for p in folders])] if folders else [], [])
+    wanted = has_extension(F.col("source_file"), extensions)
+    given = _log_set(spark, [_reader(spark).text([literal(p) for p in files])] if files else [], [])
+    if not folders:
+        return LogSet(given.lines, given.files, hidden)
+    lines, listed = below.lines.where(wanted), below.files.where(wanted)
+    if files:
+        lines, listed = lines.unionByName(given.lines), listed.unionByName(given.files)
+    return LogSet(lines, listed, hidden)
+
+
+def read_log_tree(spark: SparkSession, paths: Sequence[str],
+                  extensions: Sequence[str] = TREE_EXTENSIONS) -> DataFrame:
+    """The lines of all logs in and below the given folders, and of given files."""
+    return open_log_tree(spark, paths, extensions).lines
 
 
 def list_log_tree(spark: SparkSession, paths: Sequence[str],
                   extensions: Sequence[str] = TREE_EXTENSIONS) -> DataFrame:
-    """The files `read_log_tree` would read."""
-    folders, files = tree_roots(spark, paths, extensions)
-    found = []
-    if folders:
-        found.append(_reader(spark, extensions, recursive=True).text(folders))
-    if files:
-        found.append(_reader(spark).text(files))
-    if not found:
-        raise FileNotFoundError("none of the given paths exists")
-    listed = [_files(df) for df in found]
-    return listed[0] if len(listed) == 1 else listed[0].unionByName(listed[1])
+    """The files `read_log_tree` reads."""
+    return open_log_tree(spark, paths, extensions).files

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -18,17 +20,52 @@ def qualified(spark: SparkSession, path: str) -> str:
     return file_system(spark, path).makeQualified(hadoop_path(spark, path)).toString()
 
 
+def literal(path: str) -> str:
+    """The path for a reader, which takes `[ ] { } * ?` and backslashes for a glob, as it stands."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def path_kind(spark: SparkSession, path: str) -> str | None:
-    """"file", "directory", or None when there is nothing."""
+    """"file", "directory", "parts" for a log written in parts, or None when there is nothing."""
     fs, target = file_system(spark, path), hadoop_path(spark, path)
     if not fs.exists(target):
         return None
-    return "directory" if fs.getFileStatus(target).isDirectory() else "file"
+    if not fs.getFileStatus(target).isDirectory():
+        return "file"
+    names = [name for name in child_names(spark, path) if not is_hidden(name)]
+    return "parts" if names and all(is_part(name) for name in names) else "directory"
+
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark leaves a file or folder of this name out wherever it reads."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def is_part(name: str) -> bool:
+    return re.match(r"part-\d{5,}", name) is not None
+
+
+def _paths(spark: SparkSession, statuses) -> list[str]:
+    # Joined on the JVM side, for fetching an array costs a round trip per entry. Of what takes an
+    # array of paths, a job's configuration is what gives back one string, commas escaped.
+    if not statuses:
+        return []
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = hadoop.mapred.JobConf(False)
+    hadoop.mapred.FileInputFormat.setInputPaths(conf, hadoop.fs.FileUtil.stat2Paths(statuses))
+    joined = conf.get("mapreduce.input.fileinputformat.inputdir")
+    return [re.sub(r"\\(.)", r"\1", path) for path in re.findall(r"(?:[^,\\]|\\.)+", joined, re.S)]
+
+
+def matching(spark: SparkSession, glob: str) -> list[str]:
+    """The paths that a glob matches, hidden ones included."""
+    statuses = file_system(spark, glob).globStatus(hadoop_path(spark, glob))
+    return _paths(spark, statuses)
 
 
 def child_names(spark: SparkSession, directory: str) -> list[str]:
     """The names in a directory, hidden ones included; none when it is missing."""
-    if path_kind(spark, directory) != "directory":
+    fs, target = file_system(spark, directory), hadoop_path(spark, directory)
+    if not fs.exists(target) or not fs.getFileStatus(target).isDirectory():
         return []
-    statuses = file_system(spark, directory).listStatus(hadoop_path(spark, directory))
-    return [status.getPath().getName() for status in statuses]
+    return [path.rpartition("/")[2] for path in _paths(spark, fs.listStatus(target))]

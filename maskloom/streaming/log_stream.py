@@ -13,16 +13,26 @@ from pyspark.sql.streaming import StreamingQuery
 from maskloom.config import MaskConfig
 from maskloom.operators.masking import mask_line
 from maskloom.plans.jobs import hide_salts
-from maskloom.sources.log_files import extension_glob, has_extension, is_masked_log
+from maskloom.sources.log_files import extension_glob, has_extension, is_masked_log, log_name
+from maskloom.sources.paths import child_names, is_hidden, literal
 
 
 def read_log_stream(spark: SparkSession, directory: str, cfg: MaskConfig,
                     max_files: int | None = None) -> DataFrame:
-    """Lines of the logs in a directory, and of those that arrive later."""
+    """Lines of the logs in a directory, and of those that arrive later.
+
+    Spark's stream takes the name of the directory, and of each file that it finds, for a glob, and would
+    read other files in its place, or the same more than once. A directory of such a name, or
+    with a log of such a name, is refused, and none may arrive later.
+    """
+    odd = [n for n in child_names(spark, directory) if literal(n) != n and not is_hidden(n)]
+    odd += [directory] if literal(directory) != directory else []
+    if odd:
+        raise ValueError(f"a stream can't read names that Spark takes for globs: {', '.join(sorted(odd)[:10])}")
     reader = spark.readStream.option("pathGlobFilter", extension_glob(cfg.extensions))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    name = F.col("_metadata.file_name")
+    name = log_name(F.col("_metadata.file_path"))
     return (reader.text(directory).where(has_extension(name, cfg.extensions) & ~is_masked_log(name))
             .select(F.make_valid_utf8("value").alias("value"), name.alias("source_file")))
 

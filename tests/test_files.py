@@ -26,6 +26,9 @@ def visible(folder):
 
 
 def read(path):
+    """The text of a file, or of the parts of a folder in their order."""
+    if os.path.isdir(path):
+        return "".join(read(os.path.join(path, p)) for p in sorted(os.listdir(path)) if p.startswith("part-"))
     with open(path, encoding="utf-8") as f:
         return f.read()
 
@@ -55,7 +58,7 @@ def test_in_place(spark, tmp_path):
 def test_empty_and_missing(spark, tmp_path):
     out = str(tmp_path / "out.log")
     mask_log_file(spark, write(tmp_path, "empty.log", ""), out, CFG)
-    assert os.path.getsize(out) == 0
+    assert os.path.isdir(out) and read(out) == ""
     with pytest.raises(FileNotFoundError):
         mask_logs(spark, str(tmp_path / "none.log"), out, CFG)
     (tmp_path / "nothing").mkdir()
@@ -76,7 +79,7 @@ def test_large_file_keeps_its_order(spark, tmp_path):
     assert result.n_lines == n + 3 and os.path.getsize(log) > 5 * 100_000
     parts = sorted(p for p in os.listdir(tmp_path / "out" / "big.log") if p.startswith("part-"))
     assert len(parts) > 5
-    lines = "".join(read(tmp_path / "out" / "big.log" / p) for p in parts).splitlines()
+    lines = read(tmp_path / "out" / "big.log").splitlines()
     assert lines == [f"{i} mail {MAIL}" for i in range(n)]
     assert read(tmp_path / "out" / "small.log") == f"{MAIL}\n" * 3
 

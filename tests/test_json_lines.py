@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from helpers import token
 
 from maskloom import MaskConfig, mask_line
@@ -78,3 +79,16 @@ def test_odd_strings(apply):
     out = masked(apply, lines)
     assert out[0] == f'{{"a":"{long} {MAIL}"}}'
     assert MAIL in out[1]
+
+
+def test_overlong_strings_stay_whole(spark):
+    """A line beyond the parser's limits is JSON all the same, and comes out as it would if it were short."""
+    cfg = MaskConfig.default("")
+    for middle in ("", "y" * 21_000_000):
+        line = F.concat(F.lit('{"a": "1\\n '), F.repeat(F.lit("y"), F.lit(len(middle))), F.lit(' \\u0041 a@b.de", "mail@x.de" : [ "c", 1 ]}'))
+        row = spark.range(1).select(line.alias("line")).select(
+            is_json_object(F.col("line")).alias("json"), mask_line(F.col("line"), cfg).alias("masked")).first()
+        expected = f'{{"a":"1\\n {middle} A {token("EMAIL", "a@b.de")}","mail@x.de":["c",1]}}'
+        assert row["json"] and row["masked"] == expected
+    broken = F.concat(F.lit('{"a": "'), F.repeat(F.lit("y"), F.lit(2_000_000)), F.lit('\\q"}'))
+    assert not spark.range(1).select(is_json_object(broken).alias("json")).first()["json"]

@@ -99,6 +99,11 @@ def test_residual_audit(texts):
     left = {r["type"]: (r["n"], r["n_values"])
             for r in reports.residual_audit(masked, "text", vault, CFG).collect()}
     assert left == {"Hostname": (3, 2)}
+    at_once = reports.audit_masking(texts, "text", default, CFG)
+    assert {r["type"]: (r["n"], r["n_values"]) for r in at_once.collect()} == left
+    plan = at_once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("Relation") + plan.count("LocalRelation") <= 1
+    assert reports.audit_masking(texts, "text", default, default).count() == 0
 
 
 def test_run_report(texts):
