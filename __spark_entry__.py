@@ -140,6 +140,15 @@ _LINES: dict[str, tuple[Callable, str, str, str, str]] = {
         f"'{{\"user\":{{\"mail\":\"' || {_t('EMAIL', f"'u' || {_C} || '@corp.example'")} || '\",\"id\":' || {_C} || "
         f"'}},\"a@b.de\":[\"' || c_name || '\",null,1.50,\"' || {_t('IP4', "'10.0.0.1'")} || '\"],\"q\":\"it' || "
         f"{_BACK} || 'u0027s ' || {_BACK} || 'u003Cb' || {_BACK} || 'u003E A\"}}'"),
+    "mask_json_nested": (
+        lambda c: mask_line(c, DEFAULT), "customer", "c_custkey",
+        f"'{{\"orders\": [ {{\"note\": \"first' || {_BACK} || 'nmail u' || {_C} || '@corp.example ' || {_BACK} || "
+        f"'\"q' || {_BACK} || '\" 10.0.0.1\", \"tags\": [[], {{}}, \"' || c_mktsegment || '\"]}} ], "
+        f"\"k\": {{\"n\": -1.5e3, \"x\": [true, \"10.0.0.2\"]}}}}'",
+        f"'{{\"orders\":[{{\"note\":\"first' || {_BACK} || 'nmail ' || "
+        f"{_t('EMAIL', f"'u' || {_C} || '@corp.example'")} || ' ' || {_BACK} || 'u0022q' || {_BACK} || 'u0022 ' || "
+        f"{_t('IP4', "'10.0.0.1'")} || '\",\"tags\":[[],{{}},\"' || c_mktsegment || '\"]}}],\"k\":{{\"n\":-1.5e3,"
+        f"\"x\":[true,\"' || {_t('IP4', "'10.0.0.2'")} || '\"]}}}}'"),
     "mask_salted": (
         lambda c: mask_line(c, SALTED), "customer", "c_custkey",
         f"'mail u' || {_C} || '@corp.example'",
