@@ -19,6 +19,11 @@ VALUES = ORDERS * LEAST_DEPTH
 SORT_DEPTH = 6
 #: Predecessors in an order that a text meets: all in a region of up to NEAR + 1 texts, CROWDED in a larger one.
 NEAR, CROWDED = 12, 3
+#: Hash values of all VALUES that must agree before the rest of a crowded region is compared on full sets:
+#: of a pair of similarity 0.8 fewer agree with a probability under one in a million.
+LEAST_AGREEING = 35
+#: Texts of a crowded region that are compared with each other in one go: of those beside its main component, of all.
+BLOCK_BESIDE, BLOCK_ALL = 256, 1024
 #: Two sets are linked where 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
@@ -99,6 +104,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return hashed_words(docs).mapInPandas(run, SIGNED)
 
 
+def region_rows(classes: DataFrame) -> DataFrame:
+    """(region, key, rep) of each text in each order: key is what the order sorts by, region its head."""
+    twice = F.concat("signature", "signature")
+    order = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
+    return (classes.select("rep", twice.alias("twice"), order.alias("k"))
+            .select("rep", "k", F.expr(f"substring(twice, 1 + k * {4 * LEAST_DEPTH}, {4 * SORT_DEPTH})").alias("key"))
+            .select(F.xxhash64("k", F.expr(f"substring(key, 1, {4 * LEAST_DEPTH})")).alias("region"), "key", "rep"))
+
+
 def forest_neighbours(classes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, that stand near each other in some order, and in how many orders they do.
 
@@ -107,11 +121,7 @@ def forest_neighbours(classes: DataFrame) -> DataFrame:
     longest: in a crowded region that is deeper than in a sparse one. The sort splits a
     region over as many tasks as it needs; the rows at the tasks' edges meet afterwards.
     """
-    twice = F.concat("signature", "signature")
-    order = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
-    rows = (classes.select("rep", twice.alias("twice"), order.alias("k"))
-            .select("rep", "k", F.expr(f"substring(twice, 1 + k * {4 * LEAST_DEPTH}, {4 * SORT_DEPTH})").alias("key"))
-            .select(F.xxhash64("k", F.expr(f"substring(key, 1, {4 * LEAST_DEPTH})")).alias("region"), "key", "rep"))
+    rows = region_rows(classes)
     along = ["region", "key", "rep"]
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, *along).sortWithinPartitions(*along)
@@ -156,6 +166,46 @@ def forest_neighbours(classes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("orders"))
 
 
+def rest_of_crowded(classes: DataFrame, so_far: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in one crowded region whose signatures agree enough to be linked.
+
+    Of two such texts one at least is not in the region's main component. Those beside it are
+    few, and each is compared with all of the region: in blocks, so that no task gets a
+    region whole, and by signatures, so that only likely pairs leave the task.
+    """
+    rows = region_rows(classes).select("region", "rep")
+    crowded = rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > NEAR + 1)
+    named = (rows.join(crowded, "region").join(so_far.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("region", "n", "rep", F.coalesce("component", "rep").alias("component")))
+    shares = stored(named.groupBy("region", "n", "component").agg(F.count("*").alias("m")), "shares")
+    beside = F.sum("m") - F.max("m")
+    mixed = stored(shares.groupBy("region", "n").agg(F.max(F.struct("m", "component"))["component"].alias("main"),
+                                                     beside.alias("n_beside")).where("n_beside > 0"), "mixed")
+    inside = stored(named.join(mixed.drop("n"), "region").join(classes.select("rep", "signature"), "rep"), "inside")
+
+    def blocks(df: DataFrame, n: str, size: int, *names: str) -> DataFrame:
+        share = F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / size)).alias("block")
+        return (df.select("region", share, "rep", "component", "signature").groupBy("region", "block")
+                .agg(*(F.collect_list(c).alias(name) for c, name in zip(("rep", "component", "signature"), names)))
+                .drop("block"))
+
+    few = blocks(inside.where("component <> main"), "n_beside", BLOCK_BESIDE, "a", "ca", "sa")
+    all_ = blocks(inside, "n", BLOCK_ALL, "b", "cb", "sb")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                x, y = (np.frombuffer(b"".join(s), ">u4").reshape(-1, VALUES) for s in (row.sa, row.sb))
+                a, b = np.asarray(row.a), np.asarray(row.b)
+                agree = np.zeros((len(x), len(y)), np.uint8)
+                for k in range(VALUES):
+                    agree += x[:, k, None] == y[None, :, k]
+                i, j = np.nonzero((agree >= LEAST_AGREEING) & (np.asarray(row.ca)[:, None] != np.asarray(row.cb)[None, :]))
+                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    return few.join(all_, "region").drop("region").mapInPandas(compare, "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(rep, shingles) of the wanted documents, computed again from their texts. wanted: doc_id, text_hash."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +243,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """Components (node, component) of the linked classes.
 
     Each text's most promising pairs are confirmed first; of the rest only those between
-    different components then matter, so large groups of near copies cost few comparisons.
+    different components then matter, so large groups of near copies cost few comparisons. What
+    a crowded region has left between different components comes last.
     """
     pairs = stored(forest_neighbours(classes), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -210,7 +261,11 @@ def links(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     apart = stored(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "apart")
     ends = stored(apart.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
     more = stored(confirmed(apart, sets.join(ends, "rep", "left_semi")), "links")
-    return components(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+    edges = so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
+    left = stored(rest_of_crowded(classes, components(edges)), "rest")
+    ends = stored(left.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
+    last = stored(confirmed(left, sets.join(ends, "rep", "left_semi")), "links")
+    return components(edges.unionAll(last))
 
 
 def decided(docs: DataFrame, size: int) -> DataFrame:

@@ -118,3 +118,13 @@ def test_membership_misses_none(spark):
     kept = {r["id"] for r in spark.range(0, 9000).where(perhaps_among(ids, "id")).collect()}
     assert set(range(0, 5000, 3)) <= kept and len(kept) < 2500
     assert spark.range(10).where(perhaps_among(ids.where("id < 0"), "id")).count() == 0
+
+
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    # With hardly any neighbours met in the orders, what is left must come from the regions themselves.
+    monkeypatch.setattr(nd, "NEAR", 2)
+    monkeypatch.setattr(nd, "CROWDED", 1)
+    monkeypatch.setattr(nd, "BLOCK_BESIDE", 8)
+    monkeypatch.setattr(nd, "BLOCK_ALL", 16)
+    texts = family(7, 150, words=80, changes=9) + family(8, 40, words=50, changes=5)
+    assert got(nd.report(docs(spark, texts), size=4)) == plain(list(enumerate(texts)), 4)
