@@ -47,7 +47,7 @@ USERNAME = (r"(?U-u)(?<=\s|^|\"|'|\\)[a-zA-Z0-9-]{2,15}\\[a-zA-Z0-9._-]{2,30}"
 HOSTNAME = r"(?U-u)\b[a-zA-Z0-9-]*(?i:SW|SRV|SERVER)[a-zA-Z0-9-]*\b"
 # A label and its dot can be matched in one way only, hence the atomic group; it
 # keeps Java's stack flat. Names of more than 2,000 labels come out in pieces.
-FQDN = (r"(?U-u)(?=[a-zA-Z0-9])\b(?!\d+\.\d+\.\d+\.\d+)"
+FQDN = (r"(?U-u)\b(?!\d+\.\d+\.\d+\.\d+)"
         r"(?>[a-zA-Z0-9][a-zA-Z0-9-]{0,62}+(?<!-)\.){1,2000}"
         r"(?!(?i:zip|exe|dll|log|txt|png|core)\b)[a-zA-Z]{2,63}\b")
 IPV6_TAIL = r"(?<=\[IP6-[0-9A-F]{6}\])(?:%[0-9A-Za-z]+|:[0-9]+)"
