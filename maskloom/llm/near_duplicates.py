@@ -23,7 +23,7 @@ NEAR, CROWDED = 12, 3
 #: of a pair of similarity 0.8 fewer agree with a probability under one in a million.
 LEAST_AGREEING = 35
 #: Texts of a crowded region that are compared with each other in one go: of those beside its main component, of all.
-BLOCK_BESIDE, BLOCK_ALL = 256, 1024
+BLOCK_BESIDE, BLOCK_ALL = 128, 256
 #: Two sets are linked where 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
@@ -166,44 +166,66 @@ def forest_neighbours(classes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("orders"))
 
 
-def rest_of_crowded(classes: DataFrame, so_far: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one crowded region whose signatures agree enough to be linked.
+def rest_of_crowded(classes: DataFrame, so_far: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between different components that share a crowded region.
 
     Of two such texts one at least is not in the region's main component. Those beside it are
-    few, and each is compared with all of the region: in blocks, so that no task gets a
-    region whole, and by signatures, so that only likely pairs leave the task.
+    compared with all texts of the regions with that main component: in blocks, so that no task
+    gets all of them, by signature first and then on full sets, so that only links leave a task.
     """
     rows = region_rows(classes).select("region", "rep")
     crowded = rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > NEAR + 1)
     named = (rows.join(crowded, "region").join(so_far.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("region", "n", "rep", F.coalesce("component", "rep").alias("component")))
-    shares = stored(named.groupBy("region", "n", "component").agg(F.count("*").alias("m")), "shares")
-    beside = F.sum("m") - F.max("m")
-    mixed = stored(shares.groupBy("region", "n").agg(F.max(F.struct("m", "component"))["component"].alias("main"),
-                                                     beside.alias("n_beside")).where("n_beside > 0"), "mixed")
-    inside = stored(named.join(mixed.drop("n"), "region").join(classes.select("rep", "signature"), "rep"), "inside")
-
-    def blocks(df: DataFrame, n: str, size: int, *names: str) -> DataFrame:
-        share = F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / size)).alias("block")
-        return (df.select("region", share, "rep", "component", "signature").groupBy("region", "block")
-                .agg(*(F.collect_list(c).alias(name) for c, name in zip(("rep", "component", "signature"), names)))
-                .drop("block"))
-
-    few = blocks(inside.where("component <> main"), "n_beside", BLOCK_BESIDE, "a", "ca", "sa")
-    all_ = blocks(inside, "n", BLOCK_ALL, "b", "cb", "sb")
+             .select("region", "rep", F.coalesce("component", "rep").alias("component")))
+    shares = stored(named.groupBy("region", "component").agg(F.count("*").alias("m")), "shares")
+    mixed = stored(shares.groupBy("region").agg(F.max(F.struct("m", "component"))["component"].alias("main"),
+                                                F.count("*").alias("parts")).where("parts > 1"), "mixed")
+    # A text stands once for each main component, however many regions it shares with it.
+    inside = (named.join(mixed, "region").select("main", "rep", "component").distinct()
+              .join(classes.select("rep", "signature"), "rep").join(sets.hint("merge"), "rep"))
+    inside = stored(inside, "inside")
+    beside = F.col("component") != F.col("main")
+    sizes = stored(inside.groupBy("main").agg(
+        F.ceil(F.count_if(beside) / BLOCK_BESIDE).alias("blocks_beside"),
+        F.ceil(F.count("*") / BLOCK_ALL).alias("blocks")), "sizes")
+    dealt = inside.join(sizes, "main")
+
+    def blocks(df: DataFrame, block: str, *names: str) -> DataFrame:
+        share = F.pmod(F.xxhash64("rep"), F.col(block)).alias("block")
+        return (df.select("main", "blocks", share, "rep", "component", "signature", "shingles")
+                .groupBy("main", "blocks", "block")
+                .agg(*(F.collect_list(c).alias(name)
+                       for c, name in zip(("rep", "component", "signature", "shingles"), names))))
+
+    few = blocks(dealt.where(beside), "blocks_beside", "a", "ca", "sa", "wa")
+    few = few.select("main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                     "a", "ca", "sa", "wa")
+    all_ = blocks(dealt, "blocks", "b", "cb", "sb", "wb").drop("blocks")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 x, y = (np.frombuffer(b"".join(s), ">u4").reshape(-1, VALUES) for s in (row.sa, row.sb))
-                a, b = np.asarray(row.a), np.asarray(row.b)
                 agree = np.zeros((len(x), len(y)), np.uint8)
                 for k in range(VALUES):
                     agree += x[:, k, None] == y[None, :, k]
-                i, j = np.nonzero((agree >= LEAST_AGREEING) & (np.asarray(row.ca)[:, None] != np.asarray(row.cb)[None, :]))
-                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+                likely = agree >= LEAST_AGREEING
+                likely &= np.asarray(row.ca)[:, None] != np.asarray(row.cb)[None, :]
+                wa, wb = ([np.frombuffer(w, np.uint64) for w in ws] for ws in (row.wa, row.wb))
+                found = [(min(row.a[i], row.b[j]), max(row.a[i], row.b[j])) for i, j in zip(*np.nonzero(likely))
+                         if row.a[i] != row.b[j] and are_linked(wa[i], wb[j])]
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return few.join(all_, "region").drop("region").mapInPandas(compare, "a long, b long").distinct()
+    return few.join(all_, ["main", "block"]).drop("main", "block").mapInPandas(compare, "a long, b long").distinct()
+
+
+def are_linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if not len(s) or not len(t) or 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
+        return False
+    merged = np.sort(np.concatenate([s, t]), kind="stable")
+    shared = int((merged[1:] == merged[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(merged) - shared)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -224,14 +246,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(s) + len(t)
-            shared = 0
-            if 100 * min(len(s), len(t)) >= PERCENT * max(len(s), len(t)):
-                shared = both - len(np.union1d(s, t))
-            out.append(shared > 0 and 100 * shared >= PERCENT * (both - shared))
+        out = [are_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
         return pd.Series(out, dtype=bool)
 
     left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -262,9 +277,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     ends = stored(apart.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
     more = stored(confirmed(apart, sets.join(ends, "rep", "left_semi")), "links")
     edges = so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-    left = stored(rest_of_crowded(classes, components(edges)), "rest")
-    ends = stored(left.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
-    last = stored(confirmed(left, sets.join(ends, "rep", "left_semi")), "links")
+    last = stored(rest_of_crowded(classes, components(edges), sets), "links")
     return components(edges.unionAll(last))
 
 
