@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,6 +17,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 STRIDE = 4
 #: Hamming distance up to which no fingerprint is missed: 4 blocks of 16 bits, one of them with RADIUS // 4 flips at most.
 RADIUS, BLOCKS = 7, 4
+#: Words of the short windows of an item, one from each of its words on: PART + STRIDE - 1 words in a row are never
+#: missed. Items under LEAST_PARTED words have as whole windows all that SIMILARITY allows for.
+PART, LEAST_PARTED = 8, 9
 #: Benchmark items that one pass over the documents looks for; more items take more passes.
 ITEMS_PER_PASS = 5_000
 #: Words of text whose bits are summed at a time.
@@ -51,37 +54,57 @@ def window_class(n_words: int) -> tuple[int, int]:
     return size, STRIDE
 
 
-def fingerprints(hashes: np.ndarray, size: int, stride: int) -> np.ndarray:
+def _running(hashes: np.ndarray, stride: int, kind: type) -> np.ndarray:
+    """Sums of each bit over the words up to each multiple of `stride`."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
+    whole = len(hashes) // stride * stride
+    steps = bits[:whole].reshape(-1, stride, 64).sum(axis=1, dtype=kind)
+    return np.concatenate([np.zeros((1, 64), kind), np.cumsum(steps, axis=0, dtype=kind)])
+
+
+def _kind(size: int) -> type:
+    return np.uint8 if size < 256 else np.uint32  # differences of sums that wrap around stay right
+
+
+def fingerprints(hashes: np.ndarray, size: int, stride: int, running: np.ndarray | None = None) -> np.ndarray:
     """SimHash of the windows of `size` words that start at each multiple of `stride`: a bit is set if most words set it."""
     starts = len(hashes) - size
     if starts < 0:
         return np.zeros(0, np.uint64)
-    kind = np.uint8 if size < 256 else np.uint32  # differences of sums that wrap around stay right
-    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
-    whole = len(hashes) // stride * stride
-    steps = bits[:whole].reshape(-1, stride, 64).sum(axis=1, dtype=kind)
-    running = np.concatenate([np.zeros((1, 64), kind), np.cumsum(steps, axis=0, dtype=kind)])
+    running = _running(hashes, stride, _kind(size)) if running is None else running
     n = starts // stride + 1
     counts = running[size // stride:][:n] - running[:n]
     return np.packbits(counts > size // 2, axis=1).view(np.uint64).ravel()
 
 
+def shingle_spread(items: Iterable[np.ndarray]) -> Counter:
+    """How many items have each shingle."""
+    return Counter(s for w in items for s in shingles(w).tolist())
+
+
 class Benchmark:
     """The items' fingerprints by window class, indexed by each block with its allowed flips, and their weighted shingles."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], spread: Counter | None = None):
+        """spread: how many items have each shingle, where there are more items than these."""
         self.items = [(i, w) for i, w in items if len(w)]
         sets = [shingles(w) for _, w in self.items]
-        spread = Counter(s for found in sets for s in found.tolist())
+        spread = shingle_spread(w for _, w in self.items) if spread is None else spread
         # A shingle that several items share tells less about each of them.
         self.weights = [dict(zip(found.tolist(), (1 / spread[s] for s in found.tolist()))) for found in sets]
         self.totals = [sum(w.values()) for w in self.weights]
+        parts: dict[int, list[tuple[int, int, int]]] = {}
         members: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for n, (_, w) in enumerate(self.items):
             size, stride = window_class(len(w))
             marks = fingerprints(w, size, 1)[:stride]
             members.setdefault((size, stride), []).extend((int(m), n, at) for at, m in enumerate(marks))
+            if len(w) >= LEAST_PARTED:
+                parts.setdefault(STRIDE if len(w) >= PART + STRIDE else 1, []).extend(
+                    (int(m), n, at) for at, m in enumerate(fingerprints(w, PART, 1)))
         self.classes = {key: self._indexed(found) for key, found in members.items()}
+        self.parts = {stride: (np.array([m for m, _, _ in found], np.uint64), np.array([f[1:] for f in found], np.int64))
+                      for stride, found in ((stride, sorted(found)) for stride, found in parts.items())}
 
     @staticmethod
     def _indexed(found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -104,9 +127,29 @@ class Benchmark:
         cut to the text that it starts in or ends in.
         """
         seen: set[tuple[int, int, int]] = set()
-        for (size, stride), (marks, places, tables) in self.classes.items():
-            for at in range(0, len(hashes), CHUNK):
-                windows = fingerprints(hashes[at:at + CHUNK + size - 1], size, stride)[:CHUNK // stride]
+
+        def met(at: int, size: int, stride: int, windows: np.ndarray, found: np.ndarray) -> None:
+            for w, (item, offset) in zip(windows.tolist(), found.tolist()):
+                start = at + w * stride
+                row = int(np.searchsorted(ends, start, side="right"))
+                if start + size <= ends[row]:
+                    seen.add((row, item, start - offset))
+
+        sizes = [*self.classes, *((PART, stride) for stride in self.parts)]
+        for at in range(0, len(hashes), CHUNK):
+            # The sums of bits are the same for all sizes of a stride.
+            longest: dict[tuple[int, type], int] = {}
+            for size, stride in sizes:
+                key = stride, _kind(size)
+                longest[key] = max(longest.get(key, 0), size)
+            sums = {key: _running(hashes[at:at + CHUNK + size - 1], *key) for key, size in longest.items()}
+
+            def marked(size: int, stride: int) -> np.ndarray:
+                return fingerprints(hashes[at:at + CHUNK + size - 1], size, stride,
+                                    sums[stride, _kind(size)])[:CHUNK // stride]
+
+            for (size, stride), (marks, places, tables) in self.classes.items():
+                windows = marked(size, stride)
                 for block, (starts, listed) in enumerate(tables):
                     part = ((windows >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
                     first, n = starts[part], starts[part + 1] - starts[part]
@@ -117,12 +160,15 @@ class Benchmark:
                     window = np.repeat(hit, n)
                     mark = listed[np.repeat(first[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
                     near = np.bitwise_count(windows[window] ^ marks[mark]) <= RADIUS
-                    for w, m in zip(window[near], mark[near]):
-                        item, offset = places[m]
-                        start = at + int(w) * stride
-                        row = int(np.searchsorted(ends, start, side="right"))
-                        if start + size <= ends[row]:
-                            seen.add((row, int(item), start - int(offset)))
+                    met(at, size, stride, window[near], places[mark[near]])
+            for stride, (marks, places) in self.parts.items():
+                windows = marked(PART, stride)
+                first = np.searchsorted(marks, windows)
+                n = np.searchsorted(marks, windows, side="right") - first
+                hit = np.flatnonzero(n)
+                first, n = first[hit], n[hit]
+                mark = np.repeat(first - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+                met(at, PART, stride, np.repeat(hit, n), places[mark])
         return self._verified(hashes, ends, seen)
 
     def _verified(self, hashes: np.ndarray, ends: np.ndarray,
@@ -146,8 +192,10 @@ def benchmark_passes(items: DataFrame) -> list[Benchmark]:
     """The items, ITEMS_PER_PASS or so at a time."""
     n = max(1, -(-items.count() // ITEMS_PER_PASS))
     rows = items.select(F.col("item_id").cast("long"), word_hashes(F.col("text")).alias("w"))
-    parts = [rows.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(n)) == k) for k in range(n)]
-    return [Benchmark([(r["item_id"], np.array(r["w"], np.int64)) for r in part.collect()]) for part in parts]
+    parts = [[(r["item_id"], np.array(r["w"], np.int64)) for r in rows.where(
+        F.pmod(F.xxhash64("item_id", "w"), F.lit(n)) == k).collect()] for k in range(n)]
+    spread = shingle_spread(w for part in parts for _, w in part if len(w))
+    return [Benchmark(part, spread) for part in parts]
 
 
 def _flat(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:

@@ -89,3 +89,29 @@ def test_small_tables(spark):
     tests = [(r["item_id"], r["text"].lower()) for r in b.collect()]
     want = {(r["doc_id"], i) for r in d.collect() for i, t in tests if t in r["text"].lower()}
     assert want and want <= found
+
+
+def test_edits_that_similarity_allows_for_are_never_missed():
+    rng = np.random.default_rng(8)
+    item = lambda n: rng.integers(-2 ** 63, 2 ** 63 - 1, n)
+    missed = 0
+    for n, edits in ((9, 0), (11, 0), (12, 0), (30, 1), (40, 1), (60, 2), (100, 3), (200, 7)):
+        for _ in range(40):
+            w = item(n)
+            changed = w.copy()
+            changed[rng.choice(np.arange(1, n - 1), edits, replace=False)] = item(edits)
+            changed[0] = item(1)[0] if not edits else changed[0]  # short items: their first word
+            text = np.concatenate([item(int(rng.integers(30))), changed, item(int(rng.integers(30)))])
+            share = np.isin(dc.shingles(w), dc.shingles(changed)).mean()
+            if share >= dc.SIMILARITY:
+                missed += not dc.Benchmark([(1, w)]).find(text, np.array([len(text)]))
+    assert missed == 0
+
+
+def test_spread_counts_the_items_of_all_passes(spark, monkeypatch):
+    common = prose("common", 12)
+    tests = items(spark, [f"{common} {prose(f'own {i}', 12)}" for i in range(6)])
+    whole, = dc.benchmark_passes(tests)
+    monkeypatch.setattr(dc, "ITEMS_PER_PASS", 2)
+    totals = sorted(t for b in dc.benchmark_passes(tests) for t in b.totals)
+    assert np.allclose(totals, sorted(whole.totals))
