@@ -7,27 +7,28 @@ tokens are to match those of another job.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import groupby
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from maskloom.config import MASKED_SUFFIX, SALT_REDACTION_REGEX, TREE_EXTENSIONS, MaskConfig
 from maskloom.operators.masking import mask_line
-from maskloom.sinks.log_files import check_target, part_order, publish_all, staging_folder, write_staged
+from maskloom.sinks.log_files import Staging, check_target, commit, staging_folder, write_staged
 from maskloom.sinks.output_names import plan_output_names
-from maskloom.sources.log_files import open_log_dir, open_log_tree, open_logs, read_listed
-from maskloom.sources.paths import child_names, file_system, hadoop_path, literal, path_kind, qualified
+from maskloom.sources import store
+from maskloom.sources.log_files import (entries, name_of, numbered_ranges, open_log_dir, open_log_tree, open_logs,
+                                        read_rows)
+from maskloom.sources.paths import kept, literal, path_kind, qualified
 
 _SHOWN_FAILURES = 10
+#: Where rows about files that can't be read are staged; keys of logs are hashes.
+_UNREAD = "unread"
 
 
 @dataclass(frozen=True)
 class JobResult:
-    """What a job did. Counts come with the write; no line is masked twice."""
+    """What a job did. Counts come with the write, of all lines that could be read; no line is masked twice."""
 
     n_files: int = 0
     n_lines: int = 0
@@ -59,39 +60,63 @@ class MaskingFailed(OSError):
         super().__init__(result.summary())
 
 
-def _file_key():
-    return F.md5("part_path")
+def _log_key(source_path: Column) -> Column:
+    return F.md5(source_path)
 
 
-def _mask_and_stage(lines: DataFrame, staging: str, cfg: MaskConfig) -> dict:
-    masked = lines.select(_file_key().alias("file_key"), "line_id", F.col("value").alias("before"),
-                          mask_line(F.col("value"), cfg).alias("value"))
+def _mask_and_stage(files: DataFrame, staging: Staging, cfg: MaskConfig) -> dict:
+    """Mask and stage all files (with `log_key`, `part_no` by range) in one job, whatever can't be read; its counts.
+
+    A range that can't be read becomes a row of the log _UNREAD.
+    """
+    rows = read_rows(numbered_ranges(files), "log_key", "part_path", "part_no")
+    problem = F.col("problem").isNotNull()
+    told = F.to_json(F.struct("log_key", "part_path", "problem"))
+    masked = rows.select(
+        F.when(problem, _UNREAD).otherwise(F.col("log_key")).alias("log_key"), "part_no", "line_id",
+        F.when(problem, told).otherwise(mask_line(F.col("value"), cfg)).alias("value"), F.col("value").alias("before"))
     seen = Observation()
     write_staged(masked.observe(
-        seen, F.count(F.lit(1)).alias("n_lines"),
+        seen, F.count("before").alias("n_lines"),
         F.count_if(F.col("before") != F.col("value")).alias("n_changed"),
         F.sum(F.length("before").cast("long")).alias("n_chars")), staging)
     return {name: int(value or 0) for name, value in seen.get.items()}
 
 
-def _name(path: str) -> str:
-    return path.rstrip("/").rpartition("/")[2]
+UNREAD = "log_key string, part_path string, problem string"
+
 
+def _unread(spark: SparkSession, files: DataFrame, staging: Staging) -> DataFrame:
+    """(log_key, part_path, problem) of each file that could not be listed or read, one row per log."""
+    listed = files.where("problem IS NOT NULL").select("log_key", "part_path", "problem")
+    folder = f"{staging.lines}/log_key={_UNREAD}"
+    if store.look(folder).kind == "folder":
+        rows = spark.read.option("recursiveFileLookup", "true").text(literal(folder))
+        listed = listed.unionAll(rows.select(F.from_json("value", UNREAD).alias("row")).select("row.*"))
+    return listed.groupBy("log_key").agg(F.min(F.struct("part_path", "problem")).alias("row")).select("log_key", "row.*")
 
-def _hidden(paths: Sequence[str]) -> list[tuple[str, str]]:
-    return [(_name(path), f"Spark reads no file of this name: {path}") for path in paths]
 
+def _failures(rows: DataFrame) -> list[tuple[str, str]]:
+    """(name, message) of the logs that failed, in order."""
+    return [(row["name"], row["problem"]) for row in rows.select("name", "problem").orderBy("name", "problem").collect()]
 
-def _keys_by_log(files: DataFrame, *columns: str):
-    """(row of the columns, keys of the log's files in order, their URIs) for each log, a few rows at a time.
 
-    Rows come sorted by log; of each only its names are held.
+def _run(files: DataFrame, plan: DataFrame, staging: Staging, cfg: MaskConfig) -> JobResult:
+    """Mask the logs of a plan (log_key, name, target, problem) and publish those that nothing is wrong with.
+
+    One job reads and masks; what it can't read costs the log it belongs to and nothing else. Any other error, of
+    writing or computing, ends the job at once.
     """
-    rows = (files.select(*columns, "source_path", "part_path", _file_key().alias("key"))
-            .orderBy("source_path", "part_path").toLocalIterator(prefetchPartitions=True))
-    for _, group in groupby(rows, key=lambda row: row["source_path"]):
-        found = sorted(group, key=lambda row: part_order(_name(row["part_path"])))
-        yield found[0], [row["key"] for row in found], [row["part_path"] for row in found]
+    spark = files.sparkSession
+    chosen = files.join(plan.where("problem IS NULL").select("log_key"), "log_key", "left_semi")
+    counts = _mask_and_stage(chosen, staging, cfg)
+    unread = kept(_unread(spark, chosen, staging), staging.path)
+    journal = plan.where("problem IS NULL").join(unread, "log_key", "left_anti")
+    n_files, unpublished = commit(staging, journal, cfg.overwrite)
+    staging.keep = bool(unpublished)
+    problems = plan.where("problem IS NOT NULL").select("name", "problem").unionAll(
+        plan.drop("problem").join(unread, "log_key").select("name", "problem"))
+    return JobResult(n_files=n_files, failures=_failures(problems) + unpublished, **counts)
 
 
 def _finished(result: JobResult) -> JobResult:
@@ -106,16 +131,15 @@ def mask_log_file(spark: SparkSession, source: str, target: str, cfg: MaskConfig
         raise FileNotFoundError(f"no such file: {source}")
     check_target(spark, source, target, cfg.overwrite)
     hide_salts(spark)
-    logs = open_logs(spark, source)
-    if logs.hidden:
-        raise MaskingFailed(JobResult(failures=_hidden(logs.hidden)))
+    url = qualified(spark, source).rstrip("/")
     with staging_folder(spark, target) as staging:
-        files = logs.files.select("part_path", _file_key().alias("key")).collect()
-        keys = [row["key"] for row in sorted(files, key=lambda row: part_order(_name(row["part_path"])))]
-        counts = _mask_and_stage(logs.lines, staging.path, cfg)
-        n_files, failures = publish_all(spark, staging.path, [(keys, target)], cfg.overwrite)
-        staging.keep = bool(failures)
-    return _finished(JobResult(n_files=n_files, failures=failures, **counts))
+        files = open_logs(spark, source, scratch=staging.path).files.withColumns(
+            {"source_path": F.lit(url), "log_key": _log_key(F.lit(url))})
+        plan = spark.createDataFrame([(url, url.rpartition("/")[2], qualified(spark, target).rstrip("/"))],
+                                     "source_path string, name string, target string")
+        plan = plan.select(_log_key(F.col("source_path")).alias("log_key"), "name", "target",
+                           F.lit(None).cast("string").alias("problem"))
+        return _finished(_run(files, plan, staging, cfg))
 
 
 def output_folder(folder: str) -> str:
@@ -123,6 +147,11 @@ def output_folder(folder: str) -> str:
     return folder.rstrip("/") + MASKED_SUFFIX
 
 
+def _names_in(spark: SparkSession, folders: DataFrame) -> DataFrame:
+    """(path, name) of everything that stands in the folders `path`; a missing folder is empty."""
+    return entries(folders).where("problem IS NULL").select("path", name_of(F.col("path")).alias("name"))
+
+
 def mask_log_dir(spark: SparkSession, source: str, target: str | None, cfg: MaskConfig) -> JobResult:
     """Mask the log files right in a directory into the directory `target`.
 
@@ -135,24 +164,18 @@ def mask_log_dir(spark: SparkSession, source: str, target: str | None, cfg: Mask
         raise NotADirectoryError(f"no such directory: {source}")
     target = target or output_folder(source)
     hide_salts(spark)
-    existing = spark.createDataFrame([(n,) for n in child_names(spark, target)], "name string")
     folder = qualified(spark, target).rstrip("/")
-    logs = open_log_dir(spark, source, cfg)
-    failures = _hidden(logs.hidden)
     with staging_folder(spark, f"{folder}/_") as staging:
-        names = plan_output_names(logs.files.select(F.col("source_file").alias("name")),
-                                  existing, cfg.overwrite)
-        planned = logs.files.join(names, logs.files["source_file"] == names["name"]).select(
-            "source_path", "part_path", F.concat(F.lit(folder + "/"), "output_name").alias("target"))
         # Written down before any output exists: the plan must not see its own results.
-        planned.write.parquet(f"{staging.path}/_plan")
-        counts = _mask_and_stage(logs.lines, f"{staging.path}/lines", cfg)
-        file_system(spark, folder).mkdirs(hadoop_path(spark, folder))
-        plan = spark.read.parquet(literal(f"{staging.path}/_plan"))
-        targets = ((keys, row["target"]) for row, keys, _ in _keys_by_log(plan, "target"))
-        n_files, unpublished = publish_all(spark, f"{staging.path}/lines", targets, cfg.overwrite)
-        staging.keep = bool(unpublished)
-    return _finished(JobResult(n_files=n_files, failures=failures + unpublished, **counts))
+        existing = kept(_names_in(spark, spark.createDataFrame([(folder,)], "path string")), staging.path)
+        files = open_log_dir(spark, source, cfg, staging.path).files.withColumn("log_key", _log_key(F.col("source_path")))
+        names = plan_output_names(files.select(F.col("source_file").alias("name")), existing.select("name"), cfg.overwrite)
+        logs = files.groupBy("log_key").agg(F.min("source_file").alias("name"))
+        plan = kept(logs.join(names, "name").select("log_key", "name", F.concat(F.lit(folder + "/"), "output_name").alias("target"),
+                                                    F.lit(None).cast("string").alias("problem")), staging.path)
+        result = _run(files, plan, staging, cfg)
+        store.make_folder(folder)
+    return _finished(result)
 
 
 def mask_logs(spark: SparkSession, source: str, target: str, cfg: MaskConfig) -> JobResult:
@@ -164,113 +187,43 @@ def mask_logs(spark: SparkSession, source: str, target: str, cfg: MaskConfig) ->
     return run(spark, source, target, cfg)
 
 
-def batch_target(path: str, target_dir: str | None, overwrite: bool) -> str:
+def batch_target(path: Column, target_dir: str | None, overwrite: bool) -> Column:
     """Where a batch writes one file: `x_sanitized.ext`, or `x.ext` to overwrite."""
-    parent, _, name = path.rpartition("/")
+    name, parent = name_of(path), F.regexp_extract(path, r"(?s)\A(.*)/", 1)
     if not overwrite:
-        dot = name.rfind(".")
-        stem, extension = (name[:dot], name[dot:]) if dot >= 0 else (name, "")
-        name = stem + MASKED_SUFFIX + ("" if extension == "." else extension)
-    return f"{target_dir.rstrip('/') if target_dir else parent}/{name}"
-
-
-def _plan_batch(spark: SparkSession, files: DataFrame, target_dir: str | None,
-                overwrite: bool) -> tuple[dict[str, tuple[str, list[str], list[str]]], list[tuple[str, str]]]:
-    """(target -> (URI of the log, keys and URIs of its files)), and the logs whose target is taken.
-
-    Holds names only, as Spark's own file index on the driver does.
-    """
-    chosen: dict[str, tuple[str, list[str], list[str]]] = {}
-    failures: list[tuple[str, str]] = []
-    taken: dict[str, set[str]] = {}
-    for row, keys, parts in _keys_by_log(files, "source_file"):
-        path = unquote(row["source_path"])
-        target = batch_target(path, target_dir, overwrite)
-        parent, _, name = target.rpartition("/")
-        if not overwrite and parent not in taken:
-            taken[parent] = set(child_names(spark, parent))
-        if target in chosen or not overwrite and name in taken[parent]:
-            failures.append((row["source_file"], f"output exists already: {target}"))
-        else:
-            chosen[target] = (row["source_path"], keys, parts)
-    return chosen, failures
-
-
-_UNREAD = re.compile(r"\b(file:/[^\s,]*|[a-z0-9]+://[^\s,]*)")
-
-
-def _to_blame(error: Exception, sources: set[str]) -> set[str]:
-    """The logs that an error names as unreadable."""
-    named = {"file:/" + url[6:].lstrip("/") if url.startswith("file:/") else url
-             for found in _UNREAD.findall(str(error)) for url in (found, found.rstrip(".:;)]"))}
-    return {source for source in sources if any(url == source or url.startswith(source + "/") for url in named)}
+        stem, extension = F.regexp_extract(name, r"(?s)\A(.*?)(\.[^.]*)?\z", 1), F.regexp_extract(name, r"(?s)(\.[^.]+)\z", 1)
+        name = F.concat(stem, F.lit(MASKED_SUFFIX), extension)
+    return F.concat_ws("/", F.lit(target_dir.rstrip("/")) if target_dir else parent, name)
 
 
-def _stage_readable(spark: SparkSession, parts: dict[str, list[str]], staging: str,
-                    cfg: MaskConfig) -> tuple[list[tuple[str, set[str], dict]], list[tuple[str, str]]]:
-    """Stage the logs (URI -> URIs of its files) in as few jobs as can be.
-
-    Gives (folder, logs, counts) of each job, and the logs that can't be read.
-
-    A failed job names the file it failed on, which is left out from then on; where it doesn't, or
-    again and again, the logs are tried by halves. Nothing is published meanwhile.
-    """
-    staged, failures, pending, tries = [], [], [(set(parts), 0)], 0
-    while pending:
-        some, times = pending.pop()
-        if not some:
-            continue
-        tries += 1
-        folder = f"{staging}/{tries}"
-        try:
-            lines = read_listed(spark, [part for source in sorted(some) for part in parts[source]])
-            staged.append((folder, some, _mask_and_stage(lines, folder, cfg)))
-        except Exception as error:
-            message = _first_words(error)
-            bad = _to_blame(error, some) if times < _NAMED_TRIES else set()
-            if len(some) == 1:
-                bad = some
-            failures += [(unquote(_name(source)), message) for source in sorted(bad)]
-            if bad:
-                pending.append((some - bad, times + 1))
-            else:
-                half = sorted(some)
-                pending += [(set(half[:len(half) // 2]), 0), (set(half[len(half) // 2:]), 0)]
-    return staged, failures
-
-
-_NAMED_TRIES = 8
-
-
-def _first_words(error: Exception) -> str:
-    """The first line of an error that says what went wrong."""
-    lines = str(error).split("\n")
-    return next((line.removeprefix(": ") for line in lines if "[" in line), lines[0])
+def _plan_batch(files: DataFrame, target_dir: str | None, overwrite: bool, scratch: str) -> DataFrame:
+    """(log_key, name, target, problem) of each log; a log whose target is taken, or another's, has a problem."""
+    logs = files.groupBy("log_key").agg(F.min("source_file").alias("name"), F.min("source_path").alias("path"))
+    logs = logs.withColumn("target", batch_target(F.col("path"), target_dir, overwrite))
+    logs = logs.withColumn("first", F.row_number().over(Window.partitionBy("target").orderBy("path")) == 1)
+    free = F.col("first")
+    if not overwrite:
+        parents = logs.select(F.regexp_extract("target", r"(?s)\A(.*)/", 1).alias("path")).distinct()
+        taken = kept(_names_in(files.sparkSession, parents), scratch).select(F.col("path").alias("target"), F.lit(True).alias("taken"))
+        logs = logs.join(taken, "target", "left")
+        free = free & F.col("taken").isNull()
+    return kept(logs.select("log_key", "name", "target", F.when(~free, F.concat(F.lit("output exists already: "), "target"))
+                            .alias("problem")), scratch)
 
 
 def mask_log_batch(spark: SparkSession, paths: Sequence[str], target_dir: str | None,
                    cfg: MaskConfig, extensions: Sequence[str] = TREE_EXTENSIONS) -> JobResult:
     """Mask logs and whole folder trees; a log that fails does not stop the rest.
 
-    All logs run as one Spark job; one that can't be read costs another job, see `_stage_readable`.
+    One Spark job reads and masks all logs, whichever of them can't be read.
     """
     hide_salts(spark)
     target_dir = qualified(spark, target_dir) if target_dir else None
-    logs = open_log_tree(spark, paths, extensions)
-    chosen, failures = _plan_batch(spark, logs.files, target_dir, cfg.overwrite)
-    failures += _hidden(logs.hidden)
-    if not chosen:
-        return JobResult(failures=failures)
-    beside = next(iter(chosen)) if target_dir is None else f"{target_dir.rstrip('/')}/_"
-    n_files, sums = 0, {"n_lines": 0, "n_changed": 0, "n_chars": 0}
+    kinds = {path: path_kind(spark, path) for path in dict.fromkeys(paths)}
+    given = [path if kind == "file" else f"{path.rstrip('/')}/_" for path, kind in kinds.items() if kind]
+    if not given:
+        raise FileNotFoundError("none of the given paths exists")
+    beside = f"{target_dir.rstrip('/')}/_" if target_dir else given[0]
     with staging_folder(spark, beside) as staging:
-        parts = {source: found for source, _, found in chosen.values()}
-        staged, unread = _stage_readable(spark, parts, staging.path, cfg)
-        failures += unread
-        for folder, some, counts in staged:
-            ours = ((keys, target) for target, (source, keys, _) in chosen.items() if source in some)
-            n, unpublished = publish_all(spark, folder, ours, cfg.overwrite)
-            n_files, failures = n_files + n, failures + unpublished
-            staging.keep = staging.keep or bool(unpublished)
-            sums = {name: sums[name] + counts[name] for name in sums}
-    return JobResult(n_files=n_files, failures=failures, **sums)
+        files = open_log_tree(spark, paths, extensions, staging.path).files.withColumn("log_key", _log_key(F.col("source_path")))
+        return _run(files, _plan_batch(files, target_dir, cfg.overwrite, staging.path), staging, cfg)

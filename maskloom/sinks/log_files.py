@@ -1,30 +1,32 @@
-"""Writing masked logs: one output per input, lines in their order.
-
-Masked lines are first written to a staging folder, one subfolder per file read. No
-shuffle is needed: Spark hands the splits of a file to tasks in their order, so
-the numbers of the part files follow the lines, and each task only sorts its own
-lines by file. Then the parts of each log are moved to its final name, which touches
-names and no data. An output is a folder of parts in line order, whatever its size;
-Spark reads it like a file, and every job takes it as a log again.
+"""Writing masked logs: one output per input, lines in their order, nothing lost when a job dies.
+
+Masked lines are first written to a staging folder, by log and number of the byte range they come from; no shuffle
+of lines is needed. Then a journal of (log, target) rows is written, and tasks move the
+parts of each log to its final name, which touches names and no data. An output is a folder of parts in line
+order, whatever its size; every job takes it as a log again.
+
+All names of a move follow from the journal, and each step looks at what has been done: moving again goes
+on where a lost task, or a lost driver, has stopped. `finish_interrupted` does that for earlier jobs.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskloom.sources.paths import child_names, file_system, hadoop_path, path_kind, qualified
+from maskloom.sources import store
+from maskloom.sources.paths import file_system, hadoop_path, literal, path_kind, qualified
 
-_MOVERS = 16
-_MOVES_AT_ONCE = 1024
 _DIGITS = 10
+#: Logs that a task moves, on average.
+_LOGS_PER_TASK = 64
+_STAGING = re.compile(r"_staging-[0-9a-f]{32}")
 
 
 @dataclass
@@ -34,24 +36,33 @@ class Staging:
     path: str
     keep: bool = False
 
+    @property
+    def lines(self) -> str:
+        return f"{self.path}/lines"
+
+    @property
+    def journal(self) -> str:
+        return f"{self.path}/journal"
+
 
 @contextmanager
 def staging_folder(spark: SparkSession, beside: str):
     """A new folder next to `beside`."""
-    parent = hadoop_path(spark, qualified(spark, beside)).getParent().toString()
-    staging = Staging(f"{parent.rstrip('/')}/_staging-{uuid.uuid4().hex}")
+    parent = qualified(spark, beside).rpartition("/")[0]
+    finish_interrupted(spark, parent)
+    staging = Staging(f"{parent}/_staging-{uuid.uuid4().hex}")
     try:
         yield staging
     finally:
         if not staging.keep:
-            file_system(spark, staging.path).delete(hadoop_path(spark, staging.path), True)
+            store.remove(staging.path)
 
 
-def write_staged(lines: DataFrame, staging: str) -> None:
-    """Write `value` by `file_key`, ordered by `line_id` within each file."""
-    (lines.sortWithinPartitions("file_key", "line_id")
-     .select("file_key", "value")
-     .write.mode("errorifexists").partitionBy("file_key").text(staging))
+def write_staged(lines: DataFrame, staging: Staging) -> None:
+    """Write `value` by `log_key` and `part_no`, ordered by `line_id` within them."""
+    (lines.sortWithinPartitions("log_key", "part_no", "line_id")
+     .select("log_key", "part_no", "value")
+     .write.mode("errorifexists").partitionBy("log_key", "part_no").text(staging.lines))
 
 
 def same_path(spark: SparkSession, one: str, other: str) -> bool:
@@ -72,82 +83,120 @@ def check_target(spark: SparkSession, source: str, target: str, overwrite: bool)
         raise FileExistsError(f"output exists already: {target}")
 
 
-def part_order(name: str) -> tuple[int, str]:
-    """Sorts part files by their number, of however many digits."""
-    number = re.match(r"part-(\d+)", name)
-    return (int(number[1]) if number else -1, name)
+def part_name(number: int, piece: int = 0) -> str:
+    """A part file's name; names sort like their numbers. piece: where Spark was told to split what one task writes."""
+    return f"part-{number:0{_DIGITS}d}" + (f"_{piece:05d}" if piece else "") + ".txt"
 
 
-def part_name(number: int) -> str:
-    """A part file's name; names sort like their numbers."""
-    return f"part-{number:0{_DIGITS}d}.txt"
+# --- Publishing ---------------------------------------------------------------------
 
+def _gather(staged: str, fresh: str) -> None:
+    """Move what is staged of a log to `fresh`, named by number. A log without lines becomes an empty part."""
+    store.make_folder(fresh)
+    for folder in store.children(staged):
+        number = int(folder.url.rpartition("part_no=")[2])
+        for part in (e.url for e in store.children(folder.url) if e.url.rpartition("/")[2].startswith("part-")):
+            piece = re.search(r"\.c(\d+)\.txt\Z", part)
+            store.move(part, f"{fresh}/{part_name(number, int(piece[1]) if piece else 0)}")
+    if not any(e.url.rpartition("/")[2].startswith("part-") for e in store.children(fresh)):
+        store.make_empty(f"{fresh}/{part_name(0)}")
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    if not file_system(spark, target).rename(hadoop_path(spark, source), hadoop_path(spark, target)):
-        raise OSError(f"could not move {source} to {target}")
 
+def publish(run: str, log_key: str, staged: str, target: str, overwrite: bool) -> None:
+    """Make what is staged of a log the folder `target`.
 
-def _gather(spark: SparkSession, staged: Sequence[str], into: str) -> int:
-    """All parts of the staged folders, in their order, in one folder; how many there were."""
-    fs = file_system(spark, into)
-    fs.mkdirs(hadoop_path(spark, into))
-    n = 0
-    for folder in staged:
-        for name in sorted((p for p in child_names(spark, folder) if p.startswith("part-")), key=part_order):
-            _rename(spark, f"{folder}/{name}", f"{into}/{part_name(n)}")
-            n += 1
-    if not n:
-        fs.create(hadoop_path(spark, f"{into}/{part_name(0)}")).close()
-    return n
+    Parts are gathered beside the target; a mark tells when all are there. What is replaced is then moved aside, its
+    successor moved into place, and what was moved aside removed. Calling this again
+    after a stop at any point goes on from there.
+    """
+    parent, _, name = target.rpartition("/")
+    fresh, aside = (f"{parent}/_{word}-{run}-{log_key}" for word in ("new", "old"))
+    whole = f"{staged}.gathered"
+
+    def there(url: str) -> bool:
+        return store.look(url).kind != "none"
+
+    if not there(whole):
+        if there(target) and not overwrite:
+            raise FileExistsError(f"output exists already: {target}")
+        store.make_folder(parent)
+        _gather(staged, fresh)
+        store.make_empty(whole)
+    if there(fresh):
+        if there(target) and not there(aside):
+            if not overwrite:
+                raise FileExistsError(f"output exists already: {target}")
+            store.move(target, aside)
+        try:
+            store.move(fresh, target)
+        except OSError:
+            if there(aside) and not there(target):
+                store.move(aside, target)
+            raise
+    if there(aside):
+        store.remove(aside)
+        # A checksum of a file that was replaced.
+        store.remove(f"{parent}/.{name}.crc")
 
 
-def publish(spark: SparkSession, staged: Sequence[str], target: str, overwrite: bool) -> int:
-    """Move the staged parts of one log to the folder `target`; how many there were.
+def publish_all(staging: Staging, journal: DataFrame, overwrite: bool) -> tuple[int, list[tuple[str, str]]]:
+    """Publish the (log_key, target) rows, by tasks; the number published, and (name, message) of each that failed.
 
-    A log without lines becomes a folder with an empty part. What is replaced is moved
-    aside first, and goes when its successor is in place; should that fail, it is put back.
+    The driver makes the same few calls however many logs and parts there are.
     """
-    fs, end = file_system(spark, target), hadoop_path(spark, target)
-    parent, name = end.getParent().toString().rstrip("/"), end.getName()
-    if fs.exists(end) and not overwrite:
-        raise FileExistsError(f"output exists already: {target}")
-    fs.mkdirs(end.getParent())
-    fresh, aside = (f"{parent}/_{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
-    n = _gather(spark, staged, fresh)
-    replaces = fs.exists(end)
-    if replaces:
-        _rename(spark, target, aside)
-    try:
-        _rename(spark, fresh, target)
-    except Exception:
-        if replaces:
-            _rename(spark, aside, target)
-        raise
-    if replaces:
-        fs.delete(hadoop_path(spark, aside), True)
-        # A checksum of a file that was replaced.
-        fs.delete(hadoop_path(spark, f"{parent}/.{name}.crc"), False)
-    return n
+    spark = journal.sparkSession
+    run, lines = staging.path.rpartition("-")[2], staging.lines
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            failures = []
+            for key, target in zip(*(batch.column(c).to_pylist() for c in ("log_key", "target"))):
+                try:
+                    publish(run, key, f"{lines}/log_key={key}", target, overwrite)
+                except OSError as error:
+                    failures.append((target.rpartition("/")[2], str(error).split("\n", 1)[0]))
+            yield pa.record_batch({"done": pa.array([batch.num_rows - len(failures)] + [0] * len(failures)),
+                                   "name": pa.array([None] + [name for name, _ in failures], pa.string()),
+                                   "message": pa.array([None] + [message for _, message in failures], pa.string())})
+
+    n_logs = journal.count()
+    done = f"{staging.path}/published"
+    (journal.select("log_key", "target").repartition(-(-n_logs // _LOGS_PER_TASK) or 1)
+     .mapInArrow(move, "done long, name string, message string").write.mode("overwrite").parquet(done))
+    told = spark.read.schema("done long, name string, message string").parquet(literal(done))
+    failures = [(row["name"], row["message"]) for row in told.where("name IS NOT NULL").orderBy("name").collect()]
+    return told.agg(F.sum("done")).first()[0] or 0, failures
+
+
+def commit(staging: Staging, journal: DataFrame, overwrite: bool) -> tuple[int, list[tuple[str, str]]]:
+    """Write the (log_key, target) rows down, then publish them; see `publish_all`."""
+    journal.select("log_key", "target", F.lit(overwrite).alias("overwrite")).write.parquet(staging.journal)
+    spark = journal.sparkSession
+    n, failures = publish_all(staging, spark.read.parquet(literal(staging.journal)), overwrite)
+    if failures:
+        store.make_empty(f"{staging.path}/_failed")
+    return n, failures
 
 
-def publish_all(spark: SparkSession, staging: str, targets: Iterable[tuple[Sequence[str], str]],
-                overwrite: bool) -> tuple[int, list[tuple[str, str]]]:
-    """Publish (keys of a log's files in order, target) pairs, a bounded number at a time.
+def finish_interrupted(spark: SparkSession, parent: str) -> int:
+    """Publish what jobs that were stopped while publishing have left below `parent`; how many logs there were.
 
-    Gives the number published, and (name, message) of each that failed.
+    A staging folder without a whole journal has changed nothing outside of it, and is left alone: its job
+    may still run. So is one of which some logs could not be published.
     """
-    def move(pair: tuple[Sequence[str], str]) -> tuple[str, str] | None:
-        try:
-            publish(spark, [f"{staging}/file_key={key}" for key in pair[0]], pair[1], overwrite)
-            return None
-        except Exception as error:
-            return pair[1].rpartition("/")[2], str(error).split("\n", 1)[0]
-
-    pending, n, failures = iter(targets), 0, []
-    with ThreadPoolExecutor(_MOVERS) as movers:
-        while batch := list(islice(pending, _MOVES_AT_ONCE)):
-            failed = [failure for failure in movers.map(move, batch) if failure is not None]
-            n += len(batch) - len(failed)
-            failures.extend(failed)
-    return n, failures
+    n = 0
+    for entry in store.children(parent):
+        staging = Staging(entry.url)
+        if not _STAGING.fullmatch(entry.url.rpartition("/")[2]) or store.look(f"{entry.url}/_failed").kind != "none":
+            continue
+        if store.look(f"{staging.journal}/_SUCCESS").kind == "none":
+            continue
+        journal = spark.read.parquet(literal(staging.journal))
+        row = journal.select("overwrite").first()
+        done, failures = publish_all(staging, journal, bool(row and row["overwrite"]))
+        n += done
+        if failures:
+            store.make_empty(f"{staging.path}/_failed")
+        else:
+            store.remove(staging.path)
+    return n

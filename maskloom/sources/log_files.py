@@ -1,48 +1,34 @@
 """Reading logs: one file, the files of a directory, or whole folder trees.
 
-Every reader yields the same columns:
+Folders are listed by tasks, a round per level, and the files found stay a table; their byte ranges
+are read by tasks, too. Every reader yields the same columns:
 
 * `value`: the line, with bytes that are no UTF-8 replaced by U+FFFD,
-* `source_file`: the name of the log, `source_path`: its URI, for telling logs apart,
-* `part_path`: the URI of the file, `line_id`: ascending with the lines of a file.
+* `source_file`: the name of the log, `source_path`: its URL, for telling logs apart,
+* `part_path`: the URL of the file, `line_id`: ascending with the lines of a file.
 
-A log is a file, or a folder `name.log` of the parts in which a job has written one. Paths are taken
-as they stand: no character makes a glob of them. Names starting with `_` or `.` are hidden from
-Spark; `hidden_logs` tells which those are, and the jobs report each as failed.
+A log is a file, or a folder `name.log` of the parts in which a job has written one. Names are taken as they
+stand: no character makes a glob, and a leading `_` or `.` hides nothing.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from maskloom.config import MASKED_LOG_ENDING, TREE_EXTENSIONS, MaskConfig
-from maskloom.sources.paths import file_system, hadoop_path, is_hidden, literal, matching, path_kind, qualified
+from maskloom.sources import store
+from maskloom.sources.paths import kept, path_kind, qualified
+from maskloom.sources.ranges import read_ranges
 
 
 def clean_extensions(extensions: Sequence[str]) -> list[str]:
     return sorted({e.strip().lower() for e in extensions})
 
 
-def extension_glob(extensions: Sequence[str], parts: bool = False) -> str:
-    """A glob for files with one of the extensions, upper or lower case, and, if asked for, for parts.
-
-    Unlike a filter on names, it prunes while the directory is listed.
-    """
-    def spell(char: str) -> str:
-        if char.isalpha():
-            return f"[{char.lower()}{char.upper()}]"
-        return char if char.isalnum() or char in "._-" else f"\\{char}"
-
-    choices = ["*" + "".join(map(spell, e)) for e in clean_extensions(extensions) if e.startswith(".")]
-    choices += ["part-*"] * parts
-    return "{" + ",".join(choices) + "}"
-
-
 def extension_of(name: Column) -> Column:
     """The extension with its dot, in lower case; empty when there is none."""
     return F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
@@ -62,81 +48,143 @@ def distinct_paths(paths: DataFrame) -> DataFrame:
     return paths.dropDuplicates(["path"])
 
 
-def _one_spelling(url: Column) -> Column:
-    """The URI, of local files with one slash behind `file:`; Spark writes one or three."""
-    return F.regexp_replace(url, r"\Afile:/+", "file:/")
+_PART = r"(?s)/part-\d{5,}[^/]*\z"
+#: Folders of a running or stopped job, ours or Spark's, are no place for logs.
+_WORK = r"\A(?:_(?:staging|new|old)-[0-9a-f]{32}.*|_temporary|_spark_metadata)\z"
 
 
-_PART = r"/part-\d{5,}[^/]*\z"
+def name_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?s)([^/]*)\z", 1)
 
 
 def _log_path(path: Column) -> Column:
-    """The URI of the log that a file is, or is a part of."""
+    """The URL of the log that a file is, or is a part of."""
     parent = F.regexp_replace(path, _PART, "")
-    return F.when(path.rlike(_PART) & (extension_of(parent) != ""), parent).otherwise(path)
+    return F.when(path.rlike(_PART) & (extension_of(name_of(parent)) != ""), parent).otherwise(path)
+
+
+# --- Listing ------------------------------------------------------------------------
+
+ENTRIES = "path string, kind string, size long, problem string"
 
 
-def log_name(path: Column) -> Column:
-    return F.url_decode(F.replace(F.regexp_extract(path, r"([^/]*)\z", 1), F.lit("+"), F.lit("%2B")))
+def _listed(batches: Iterator[pa.RecordBatch], look: bool) -> Iterator[pa.RecordBatch]:
+    """What stands in the folders `path`; with `look`, what stands at the paths themselves."""
+    for batch in batches:
+        for url in batch.column("path").to_pylist():
+            try:
+                found, problem = ([store.look(url)] if look else store.children(url)), None
+            except OSError as error:
+                found, problem = [store.Entry(url, "other", 0, 0)], str(error)
+            yield pa.record_batch({"path": pa.array([e.url for e in found], pa.string()),
+                                   "kind": pa.array([e.kind for e in found], pa.string()),
+                                   "size": pa.array([e.size for e in found], pa.int64()),
+                                   "problem": pa.array([problem] * len(found), pa.string())})
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    path = _one_spelling(F.col("_metadata.file_path"))
-    return (df.select(F.make_valid_utf8("value").alias("value"), path.alias("part_path"),
-                      F.monotonically_increasing_id().alias("line_id"))
-            .select("value", log_name(_log_path(F.col("part_path"))).alias("source_file"),
-                    _log_path(F.col("part_path")).alias("source_path"), "part_path", "line_id"))
+def entries(paths: DataFrame, look: bool = False) -> DataFrame:
+    """The entries of the folders `path`, or of the paths themselves."""
+    return paths.select("path").mapInArrow(lambda batches: _listed(batches, look), ENTRIES)
 
 
-def _files(df: DataFrame) -> DataFrame:
-    """The files a reader opens, empty ones included, without opening them.
+def _paths(spark: SparkSession, urls: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(url,) for url in urls], "path string")
 
-    The names come from the file index, which the driver holds in any case; it is the one that
-    the lines of the same reader come from, so both tell of the same files.
+
+def _below(folders: DataFrame, scratch: str | None, parts_only: Sequence[str] | None = None) -> DataFrame:
+    """All files in and below the folders, each folder listed once, a round of tasks per level.
+
+    parts_only: go one level down only, to folders with one of these extensions, for the parts in them.
     """
-    spark = df.sparkSession
-    # Joined on the JVM side, for fetching an array costs a round trip per entry.
-    urls = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", df._jdf.inputFiles())
-    files = spark.createDataFrame([(url,) for url in urls.split("\n") if url], "part_path string")
-    files = files.withColumn("part_path", _one_spelling(F.col("part_path")))
-    path = _log_path(F.col("part_path"))
-    return files.select(log_name(path).alias("source_file"), path.alias("source_path"), "part_path")
+    level = kept(entries(folders), scratch)
+    found = level.where(F.col("kind") != "folder")
+    down = (F.col("kind") == "folder") & ~name_of(F.col("path")).rlike(_WORK)
+    if parts_only is not None:
+        inner = entries(level.where(down & has_extension(name_of(F.col("path")), parts_only)))
+        return found.unionAll(kept(inner.where((F.col("kind") != "folder") & F.col("path").rlike(_PART)), scratch))
+    while not level.where(down).isEmpty():
+        level = kept(entries(level.where(down).repartition(_tasks(level))), scratch)
+        found = found.unionAll(level.where(F.col("kind") != "folder"))
+    return found
 
 
-def _reader(spark: SparkSession, extensions: Sequence[str] | None = None):
-    # As trees: else a folder named like key=value would be taken for a partition.
-    reader = spark.read.option("recursiveFileLookup", "true")
-    return reader if extensions is None else reader.option("pathGlobFilter", extension_glob(extensions, parts=True))
+def _tasks(table: DataFrame) -> int:
+    """Tasks for a round over names: listing waits more than it works."""
+    spark = table.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-@dataclass(frozen=True)
-class LogSet:
-    """Logs listed once: `lines` and `files` tell of the same. hidden: paths that Spark doesn't read."""
+def _as_files(found: DataFrame) -> DataFrame:
+    """The table of files of a set of entries. What is no file or can't be listed has a `problem`."""
+    path = _log_path(F.col("path"))
+    problem = F.coalesce("problem", F.when(F.col("kind") == "none", "no such file").when(F.col("kind") != "file", "not a file"))
+    return found.select(name_of(path).alias("source_file"), path.alias("source_path"), F.col("path").alias("part_path"),
+                        "size", problem.alias("problem"))
 
-    lines: DataFrame
-    files: DataFrame
-    hidden: list[str]
+
+# --- Reading ------------------------------------------------------------------------
+
+def _bytes_setting(spark: SparkSession, name: str, default: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, default))
 
 
-def _log_set(spark: SparkSession, readers: Sequence[DataFrame], hidden: Sequence[str]) -> LogSet:
-    if not readers:
-        none = spark.createDataFrame(
-            [], "value string, source_file string, source_path string, part_path string, line_id long")
-        return LogSet(none, none.select("source_file", "source_path", "part_path"), list(hidden))
-    df, = readers
-    return LogSet(_lines(df), _files(df), list(hidden))
+def numbered_ranges(files: DataFrame) -> DataFrame:
+    """The byte ranges of all files without a problem, each log's numbered in their order from 0 as `part_no`.
 
+    A range has at most spark.sql.files.maxPartitionBytes.
+    """
+    most = F.lit(_bytes_setting(files.sparkSession, "spark.sql.files.maxPartitionBytes", "128m"))
+    cut = files.where(F.col("problem").isNull() & (F.col("size") > 0)).withColumn(
+        "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, most.cast("long"))))
+    number = F.regexp_extract(name_of(F.col("part_path")), r"\Apart-(\d+)", 1).try_cast("decimal(38,0)")
+    in_order = Window.partitionBy("source_path").orderBy(number, "part_path", "start")
+    return (cut.withColumn("end", F.least(F.col("start") + most, "size"))
+            .withColumn("part_no", (F.row_number().over(in_order) - 1).cast("long")))
+
+
+def read_rows(ranges: DataFrame, *columns: str) -> DataFrame:
+    """The lines of ranges: the columns, line_id, value; a range that can't be read has a `problem` in place of a value.
+
+    Ranges are dealt to as many tasks as Spark would use for files of their sizes.
+    """
+    spark = ranges.sparkSession
+    most = _bytes_setting(spark, "spark.sql.files.maxPartitionBytes", "128m")
+    each = F.lit(_bytes_setting(spark, "spark.sql.files.openCostInBytes", "4m")) + F.col("end") - F.col("start")
+    weight = ranges.agg(F.sum(each)).first()[0] or 0
+    passed = ["part_path", *(c for c in columns if c != "part_path")]
+    schema = ", ".join(f"{c} {ranges.schema[c].dataType.simpleString()}" for c in passed)
+    chosen = ranges.select(*passed, "start", "end")
+    rows = chosen.repartition(max(1, -(-weight // most))).mapInArrow(
+        read_ranges, f"{schema}, line_id long, value binary, problem string")
+    return rows.withColumn("value", F.make_valid_utf8(F.col("value").cast("string")))
 
-def open_logs(spark: SparkSession, *paths: str) -> LogSet:
-    """The given logs, whatever their extension."""
-    hidden = [p for p in paths if is_hidden(p.rstrip("/").rpartition("/")[2])]
-    seen = [literal(p) for p in paths if p not in hidden]
-    return _log_set(spark, [_reader(spark).text(seen)] if seen else [], hidden)
 
+@dataclass(frozen=True)
+class LogSet:
+    """Logs listed once: a row per file, with a `problem` where it can't be read."""
 
-def read_listed(spark: SparkSession, part_paths: Sequence[str]) -> DataFrame:
-    """The lines of files by their URIs, as a list of files has them."""
-    return _lines(_reader(spark).text([literal(unquote(path)) for path in part_paths]))
+    files: DataFrame
+
+    @property
+    def lines(self) -> DataFrame:
+        """All lines. A file that can't be read is an error."""
+        failed = F.concat_ws(": ", "part_path", "problem")
+        bad = self.files.where(F.col("problem").isNotNull()).select(F.raise_error(failed).cast("string").alias("value"),
+                                                                     "source_file", "source_path", "part_path",
+                                                                     F.lit(0).cast("long").alias("line_id"))
+        rows = read_rows(numbered_ranges(self.files), "source_file", "source_path", "part_path")
+        value = F.when(F.col("problem").isNotNull(), F.raise_error(failed)).otherwise(F.col("value"))
+        return rows.select(value.alias("value"), "source_file", "source_path", "part_path", "line_id").unionAll(bad)
+
+
+def open_logs(spark: SparkSession, *paths: str, scratch: str | None = None) -> LogSet:
+    """The given logs, whatever their extension; of a folder, its parts."""
+    given = kept(entries(_paths(spark, [qualified(spark, p) for p in paths]), look=True), scratch)
+    parts = entries(given.where(F.col("kind") == "folder")).where(F.col("path").rlike(_PART) | F.col("problem").isNotNull())
+    found = given.where(F.col("kind") != "folder").unionAll(parts)
+    # Every folder that was named is a log, with or without an extension.
+    files = _as_files(found)
+    return LogSet(kept(files, scratch))
 
 
 def read_log_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -149,27 +197,17 @@ def list_log_files(spark: SparkSession, *paths: str) -> DataFrame:
     return open_logs(spark, *paths).files
 
 
-def open_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> LogSet:
-    """The logs right in a directory, earlier outputs left out. Folders below it are not listed."""
-    found = matching(spark, f"{literal(directory.rstrip('/'))}/{extension_glob(cfg.extensions)}")
-    wanted = [path for path in found if not path.lower().endswith(MASKED_LOG_ENDING)]
-    hidden = [path for path in wanted if is_hidden(path.rpartition("/")[2])]
-    logs = [path for path in wanted if path not in set(hidden)]
-    if not logs:
-        return _log_set(spark, [], hidden)
-    found = _log_set(spark, [_reader(spark).text([literal(path) for path in logs])], hidden)
-    # Of a folder named like a log only parts are lines of it. Spark applies this to its list of files.
-    depth = len(_segments(qualified(spark, directory))) + 1
-    path = F.col("part_path")
-    ours = (F.size(F.split(F.regexp_replace(path, _SCHEME, ""), "/")) == depth) | (path != F.col("source_path"))
-    return LogSet(found.lines.where(ours), found.files.where(ours), hidden)
-
+def open_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig, scratch: str | None = None) -> LogSet:
+    """The logs right in a directory, earlier outputs left out. Folders below it are listed only where they are logs in parts."""
+    found = _below(_paths(spark, [qualified(spark, directory)]), scratch, cfg.extensions)
+    files = _as_files(found)
+    name = F.col("source_file")
+    return LogSet(kept(files.where((has_extension(name, cfg.extensions) & ~is_masked_log(name)) | _unlisted()), scratch))
 
-_SCHEME = r"\A[A-Za-z0-9+.-]+:/*"
 
-
-def _segments(url: str) -> list[str]:
-    return re.sub(_SCHEME, "", url).rstrip("/").split("/")
+def _unlisted() -> Column:
+    """Whether a row stands for a folder that could not be listed."""
+    return F.col("problem").isNotNull() & ~F.col("problem").isin("no such file", "not a file")
 
 
 def read_log_dir(spark: SparkSession, directory: str, cfg: MaskConfig) -> DataFrame:
@@ -209,30 +247,8 @@ def tree_roots(spark: SparkSession, paths: Sequence[str],
     return tops, files
 
 
-def hidden_logs(spark: SparkSession, folder: str, extensions: Sequence[str]) -> list[str]:
-    """The logs in and below a folder that Spark doesn't read for their or their folder's name.
-
-    Goes down level by level, with two listings for each, whatever the number of files.
-    """
-    wanted, found, level = clean_extensions(extensions), [], literal(folder.rstrip("/"))
-    fs = file_system(spark, folder)
-    while matching(spark, f"{level}/*"):
-        for path in matching(spark, f"{level}/[._]*"):
-            name = path.rpartition("/")[2]
-            if not is_hidden(name):
-                continue
-            files = fs.listFiles(hadoop_path(spark, path), True)
-            while files.hasNext():
-                below = files.next().getPath().toString()
-                last = below.rpartition("/")[2]
-                if not last.endswith(".crc") and ("." + last.rpartition(".")[2].lower()) in wanted and "." in last[1:]:
-                    found.append(below)
-        level += "/*"
-    return sorted(set(found))
-
-
-def open_log_tree(spark: SparkSession, paths: Sequence[str],
-                  extensions: Sequence[str] = TREE_EXTENSIONS) -> LogSet:
+def open_log_tree(spark: SparkSession, paths: Sequence[str], extensions: Sequence[str] = TREE_EXTENSIONS,
+                  scratch: str | None = None) -> LogSet:
     """All logs in and below the given folders, and given files.
 
     Only folders are filtered by extension; paths that do not exist are ignored.
@@ -240,19 +256,13 @@ def open_log_tree(spark: SparkSession, paths: Sequence[str],
     folders, files = tree_roots(spark, paths, extensions)
     if not folders and not files:
         raise FileNotFoundError("none of the given paths exists")
-    hidden = [p for p in files if is_hidden(p.rpartition("/")[2])]
-    files = [p for p in files if p not in hidden]
-    for folder in folders:
-        hidden += hidden_logs(spark, folder, extensions)
-    below = _log_set(spark, [_reader(spark, extensions).text([literal(p) for p in folders])] if folders else [], [])
-    wanted = has_extension(F.col("source_file"), extensions)
-    given = _log_set(spark, [_reader(spark).text([literal(p) for p in files])] if files else [], [])
-    if not folders:
-        return LogSet(given.lines, given.files, hidden)
-    lines, listed = below.lines.where(wanted), below.files.where(wanted)
-    if files:
-        lines, listed = lines.unionByName(given.lines), listed.unionByName(given.files)
-    return LogSet(lines, listed, hidden)
+    found = entries(_paths(spark, [qualified(spark, p) for p in files]), look=True)
+    if folders:
+        below = _below(_paths(spark, [qualified(spark, p) for p in folders]), scratch)
+        listed = _as_files(below)
+        wanted = listed.where(has_extension(F.col("source_file"), extensions) | _unlisted())
+        return LogSet(kept(_as_files(found).unionAll(wanted), scratch))
+    return LogSet(kept(_as_files(found), scratch))
 
 
 def read_log_tree(spark: SparkSession, paths: Sequence[str],

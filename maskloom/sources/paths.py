@@ -1,10 +1,14 @@
-"""Small questions to the file system a path lives on, asked through Hadoop."""
+"""Small questions about paths, and the folder for work between jobs."""
 
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from maskloom.sources import store
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -16,56 +20,46 @@ def file_system(spark: SparkSession, path: str):
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """The path as a full URI string."""
+    """The path as a full URL, its characters as they stand."""
     return file_system(spark, path).makeQualified(hadoop_path(spark, path)).toString()
 
 
 def literal(path: str) -> str:
-    """The path for a reader, which takes `[ ] { } * ?` and backslashes for a glob, as it stands."""
+    """The path for Spark's readers, which take `[ ] { } * ?` and backslashes for a glob, as it stands."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def path_kind(spark: SparkSession, path: str) -> str | None:
     """"file", "directory", "parts" for a log written in parts, or None when there is nothing."""
-    fs, target = file_system(spark, path), hadoop_path(spark, path)
-    if not fs.exists(target):
-        return None
-    if not fs.getFileStatus(target).isDirectory():
-        return "file"
-    names = [name for name in child_names(spark, path) if not is_hidden(name)]
+    url = qualified(spark, path)
+    kind = store.look(url).kind
+    if kind != "folder":
+        return None if kind == "none" else "file"
+    names = [entry.url.rpartition("/")[2] for entry in store.children(url)]
+    names = [name for name in names if not (name.endswith(".crc") or name == "_SUCCESS")]
     return "parts" if names and all(is_part(name) for name in names) else "directory"
 
 
-def is_hidden(name: str) -> bool:
-    """Whether Spark leaves a file or folder of this name out wherever it reads."""
-    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
-
-
 def is_part(name: str) -> bool:
     return re.match(r"part-\d{5,}", name) is not None
 
 
-def _paths(spark: SparkSession, statuses) -> list[str]:
-    # Joined on the JVM side, for fetching an array costs a round trip per entry. Of what takes an
-    # array of paths, a job's configuration is what gives back one string, commas escaped.
-    if not statuses:
-        return []
-    hadoop = spark._jvm.org.apache.hadoop
-    conf = hadoop.mapred.JobConf(False)
-    hadoop.mapred.FileInputFormat.setInputPaths(conf, hadoop.fs.FileUtil.stat2Paths(statuses))
-    joined = conf.get("mapreduce.input.fileinputformat.inputdir")
-    return [re.sub(r"\\(.)", r"\1", path) for path in re.findall(r"(?:[^,\\]|\\.)+", joined, re.S)]
-
-
-def matching(spark: SparkSession, glob: str) -> list[str]:
-    """The paths that a glob matches, hidden ones included."""
-    statuses = file_system(spark, glob).globStatus(hadoop_path(spark, glob))
-    return _paths(spark, statuses)
-
-
-def child_names(spark: SparkSession, directory: str) -> list[str]:
-    """The names in a directory, hidden ones included; none when it is missing."""
-    fs, target = file_system(spark, directory), hadoop_path(spark, directory)
-    if not fs.exists(target) or not fs.getFileStatus(target).isDirectory():
-        return []
-    return [path.rpartition("/")[2] for path in _paths(spark, fs.listStatus(target))]
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir or, in local mode, of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="maskloom-")
+    folder = f"{base.rstrip('/')}/maskloom-{uuid.uuid4().hex}"
+    path = hadoop_path(spark, folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def kept(df: DataFrame, scratch: str | None = None) -> DataFrame:
+    """df written and read again, so that what it tells of is looked at once. scratch: a shared folder of the caller."""
+    folder = f"{scratch or scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(literal(folder))

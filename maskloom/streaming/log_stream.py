@@ -7,34 +7,34 @@ checkpoint writes the tokens the first run would have.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from maskloom.config import MaskConfig
 from maskloom.operators.masking import mask_line
 from maskloom.plans.jobs import hide_salts
-from maskloom.sources.log_files import extension_glob, has_extension, is_masked_log, log_name
-from maskloom.sources.paths import child_names, is_hidden, literal
+from maskloom.sources.log_files import clean_extensions
+from maskloom.sources.log_source import FORMAT, LogSource
+from maskloom.sources.paths import qualified
 
 
-def read_log_stream(spark: SparkSession, directory: str, cfg: MaskConfig,
+def read_log_stream(spark: SparkSession, directory: str, cfg: MaskConfig, state: str | None = None,
                     max_files: int | None = None) -> DataFrame:
-    """Lines of the logs in a directory, and of those that arrive later.
+    """Lines of the logs in a directory, and of those that arrive later or grow.
 
-    Spark's stream takes the name of the directory, and of each file that it finds, for a glob, and would
-    read other files in its place, or the same more than once. A directory of such a name, or
-    with a log of such a name, is refused, and none may arrive later.
+    Names are taken as they stand. `state` is a folder of the stream's own, kept from run to run, that holds what has
+    been read of which log; it defaults to one below spark.checkpoint.dir. `max_files`
+    bounds what one trigger takes up; a run that handles what is there and stops has one trigger.
     """
-    odd = [n for n in child_names(spark, directory) if literal(n) != n and not is_hidden(n)]
-    odd += [directory] if literal(directory) != directory else []
-    if odd:
-        raise ValueError(f"a stream can't read names that Spark takes for globs: {', '.join(sorted(odd)[:10])}")
-    reader = spark.readStream.option("pathGlobFilter", extension_glob(cfg.extensions))
+    spark.dataSource.register(LogSource)
+    reader = spark.readStream.format(FORMAT).option("extensions", json.dumps(clean_extensions(cfg.extensions)))
     if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    name = log_name(F.col("_metadata.file_path"))
-    return (reader.text(directory).where(has_extension(name, cfg.extensions) & ~is_masked_log(name))
-            .select(F.make_valid_utf8("value").alias("value"), name.alias("source_file")))
+        reader = reader.option("max_files", max_files)
+    state = state or checkpoint_folder(spark, "log-files")
+    return (reader.option("state", qualified(spark, state)).load(qualified(spark, directory))
+            .select(F.make_valid_utf8(F.col("value").cast("string")).alias("value"), "source_file"))
 
 
 def mask_stream(stream: DataFrame, column: str, cfg: MaskConfig) -> DataFrame:
@@ -68,6 +68,11 @@ def write_log_stream(masked: DataFrame, target: str, checkpoint: str | None = No
 def mask_log_stream(spark: SparkSession, directory: str, target: str, cfg: MaskConfig,
                     checkpoint: str | None = None, max_files: int | None = None,
                     **trigger) -> StreamingQuery:
-    """Mask the logs of a directory, and those that arrive later, into `target`."""
-    lines = read_log_stream(spark, directory, cfg, max_files)
+    """Mask the logs of a directory, and those that arrive later, into `target`.
+
+    What has been read of which log is kept inside the checkpoint folder. `max_files` is for triggers that come
+    again; without one, all that is there is handled.
+    """
+    checkpoint = checkpoint or checkpoint_folder(spark, "masked-logs")
+    lines = read_log_stream(spark, directory, cfg, f"{checkpoint.rstrip('/')}/log-files", max_files if trigger else None)
     return write_log_stream(mask_stream(lines, "value", cfg), target, checkpoint, **trigger)

@@ -168,10 +168,12 @@ def test_batch(spark, tmp_path):
     assert both.n_files == 1 and visible(tmp_path / "o") == ["a_sanitized.log"]
 
 
-def test_batch_names():
-    assert batch_target("/x/a.log", None, False) == "/x/a_sanitized.log"
-    assert batch_target("/x/a", "/y/", False) == "/y/a_sanitized"
-    assert batch_target("/x/a.log", "/y", True) == "/y/a.log"
+@pytest.mark.parametrize("path, target_dir, overwrite, expected", [
+    ("/x/a.log", None, False, "/x/a_sanitized.log"), ("/x/a", "/y/", False, "/y/a_sanitized"), ("/x/a.log", "/y", True, "/y/a.log"),
+    ("/x/a.", None, False, "/x/a_sanitized"), ("/x.y/a.b\nc.txt", None, False, "/x.y/a.b\nc_sanitized.txt"),
+    ("/x/.log", None, False, "/x/_sanitized.log")])
+def test_batch_names(apply, path, target_dir, overwrite, expected):
+    assert apply([path], lambda p: batch_target(p, target_dir, overwrite)) == [expected]
 
 
 def test_stream_equals_batch_and_restarts(spark, tmp_path):
@@ -208,7 +210,6 @@ def test_stream_checkpoint_comes_from_the_session():
 def test_files_below_a_directory_are_not_opened(spark, tmp_path):
     write(tmp_path, "a.log", "x\n")
     write(tmp_path, "sub/b.log", "y\n")
-    lines = src.read_log_dir(spark, str(tmp_path), CFG)
-    assert [r["value"] for r in lines.collect()] == ["x"]
-    scan = lines._jdf.queryExecution().executedPlan().collectLeaves().head()
-    assert scan.metrics().apply("numFiles").value() == 1
+    os.mkfifo(tmp_path / "sub" / "c.log")  # opening it would never end
+    assert [r["value"] for r in src.read_log_dir(spark, str(tmp_path), CFG).collect()] == ["x"]
+    assert [r["source_file"] for r in src.list_log_dir(spark, str(tmp_path), CFG).collect()] == ["a.log"]
