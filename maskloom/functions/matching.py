@@ -38,6 +38,19 @@ def split_matches(text: Column, pattern: str) -> Column:
     return F.split(fenced, MARK, -1)
 
 
+def split_shortened(text: Column, pattern: str, end: str) -> Column:
+    """Like `split_matches`, for a pattern that goes on too far: a match ends with its last `end`; without one it is none.
+
+    For what may be arbitrarily long, where a pattern that gives back piece by piece would need stack for
+    each. `end` may look at a MARK where the long match ends.
+    """
+    opening, closing, inside = f"{MARK}<", f"{MARK}>", f"[^{MARK}]*"
+    fenced = F.regexp_replace(text, F.lit(pattern), F.lit(f"{opening}$0{closing}"))
+    fenced = F.regexp_replace(fenced, F.lit(f"{opening}(?!{inside}{end})({inside}){closing}"), F.lit("$1"))
+    fenced = F.regexp_replace(fenced, F.lit(f"{opening}({inside}{end})({inside}){closing}"), F.lit(f"{MARK}$1{MARK}$2"))
+    return F.split(fenced, MARK, -1)
+
+
 def is_match(position: Column) -> Column:
     """Whether the piece at this 0-based position is a match."""
     return position % 2 == 1

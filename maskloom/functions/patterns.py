@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from maskloom.functions.matching import MARK
+
 # --- Fixed values: what each detector matches --------------------------------
 API_KEY = r"(?iU-u)\b((?:x-)?api-key\s*+[:=]\s*+)([A-Za-z0-9]+)"
 BEARER = r"(?iU-u)\bBearer\s+[A-Za-z0-9\-\._~\+\/]+=*"
@@ -45,11 +47,13 @@ DOMAIN_USER = r"(?U-u)\b[a-zA-Z0-9-]{2,15}\\{1,2}[a-zA-Z0-9._-]{2,30}\b"
 USERNAME = (r"(?U-u)(?<=\s|^|\"|'|\\)[a-zA-Z0-9-]{2,15}\\[a-zA-Z0-9._-]{2,30}"
             r"(?=\s|$|\"|'|\\|\])")
 HOSTNAME = r"(?U-u)\b[a-zA-Z0-9-]*(?i:SW|SRV|SERVER)[a-zA-Z0-9-]*\b"
-# A label and its dot can be matched in one way only, hence the atomic group; it
-# keeps Java's stack flat. Names of more than 2,000 labels come out in pieces.
+# A label and its dot can be matched in one way only and none is given back, which keeps Java's stack flat however
+# many there are. So a match may go on behind its last top-level name; it ends there, see FQDN_END.
 FQDN = (r"(?U-u)\b(?!\d+\.\d+\.\d+\.\d+)"
-        r"(?>[a-zA-Z0-9][a-zA-Z0-9-]{0,62}+(?<!-)\.){1,2000}"
-        r"(?!(?i:zip|exe|dll|log|txt|png|core)\b)[a-zA-Z]{2,63}\b")
+        r"(?:[a-zA-Z0-9][a-zA-Z0-9-]{0,62}+(?<!-)\.)++"
+        r"(?:(?!(?i:zip|exe|dll|log|txt|png|core)\b)[a-zA-Z]{2,63}\b)?+")
+# Behind a top-level name inside such a match stands a dot, a hyphen, or the match's end.
+FQDN_END = rf"\.(?!(?i:zip|exe|dll|log|txt|png|core)(?:[.-]|{MARK}))[a-zA-Z]{{2,63}}(?=[.-]|{MARK})"
 IPV6_TAIL = r"(?<=\[IP6-[0-9A-F]{6}\])(?:%[0-9A-Za-z]+|:[0-9]+)"
 
 # Constants some detectors write in place of a token.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, functions as F
 
 from maskloom.config import ALLOWED_WORDS, MaskConfig
 from maskloom.functions import patterns as rx
-from maskloom.functions.matching import any_literal, literal_replacement, unshield
+from maskloom.functions.matching import any_literal, literal_replacement, split_matches, split_shortened, unshield
 from maskloom.functions.patterns import any_word, spelled_out
 from maskloom.functions.tokens import key_token, type_code
 
@@ -73,10 +73,12 @@ class Detector:
     needs: tuple[str, ...]
     take_apart: Callable[[Column], Hit]
     trigger: str | None = None
+    end: str | None = None
 
-    @property
-    def regex(self) -> str:
-        return spelled_out(self.pattern)
+    def pieces(self, text: Column) -> Column:
+        """A shielded text as gap, match, gap, ... With `end`, a match of the pattern ends at the last `end` in it."""
+        pattern = spelled_out(self.pattern)
+        return split_matches(text, pattern) if self.end is None else split_shortened(text, pattern, spelled_out(self.end))
 
     def rewrite(self, match: Column, cfg: MaskConfig) -> Column:
         hit = self.take_apart(match)
@@ -257,7 +259,7 @@ HOSTNAMES = Detector("hostnames", "Hostname", rx.HOSTNAME,
 HOSTNAMES_BESIDE_TOKENS = Detector(
     "hostnames", "Hostname", r"(?!(?<=\[)[A-Z0-9]{2,6}-[0-9A-F]{6}\])" + rx.HOSTNAME,
     HOSTNAMES.needs, HOSTNAMES.take_apart)
-FQDNS = Detector("fqdns", "FQDN", rx.FQDN, (r"\.[a-zA-Z]{2}",), _named("FQDN"))
+FQDNS = Detector("fqdns", "FQDN", rx.FQDN, (r"\.[a-zA-Z]{2}",), _named("FQDN"), end=rx.FQDN_END)
 IPV6_TAILS = Scrubber("ipv6_tails", rx.IPV6_TAIL, "", (r"\[IP6-",))
 
 # Run whatever the targets are. Targeting Email, CreditCard, PhoneNumber or

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.config import MaskConfig
-from maskloom.functions.matching import join_pieces, shield, split_matches, unshield
+from maskloom.functions.matching import join_pieces, shield, unshield
 from maskloom.operators import detectors as d
 from maskloom.operators.detectors import Detector, Scrubber, any_needed
 from maskloom.operators.json_lines import mask_pieces
@@ -25,8 +25,7 @@ _BLOCK = 14
 def _step(step: Detector | Scrubber, text: Column, cfg: MaskConfig) -> Column:
     if isinstance(step, Scrubber):
         return step.replace(text)
-    pieces = split_matches(text, step.regex)
-    masked = join_pieces(pieces, lambda m: step.rewrite(m, cfg))
+    masked = join_pieces(step.pieces(text), lambda m: step.rewrite(m, cfg))
     return F.when(step.hint(text), masked).otherwise(text)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.config import MaskConfig
-from maskloom.functions.matching import is_match, let, shield, split_matches
+from maskloom.functions.matching import is_match, let, shield
 from maskloom.operators.detectors import Detector, Scrubber, active_detectors, any_needed
 from maskloom.operators.json_lines import is_maskable, line_pieces
 from maskloom.operators.masking import blocks_of, mask_line
@@ -39,7 +39,7 @@ def _observe(step: Detector | Scrubber, cfg: MaskConfig, mask: bool) -> Callable
         text, found = state["text"], state["found"]
         if isinstance(step, Scrubber):
             return F.struct(step.replace(text).alias("text"), found.alias("found")) if mask else state
-        entries = F.transform(split_matches(text, step.regex),
+        entries = F.transform(step.pieces(text),
                               lambda piece, i: _entry(step, piece, i, cfg))
         after = let(entries, lambda e: F.struct(
             (F.array_join(e["text"], "") if mask else text).alias("text"),

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from helpers import token
 from pyspark.sql import functions as F
@@ -168,9 +171,27 @@ def test_long_lines(apply):
     assert out[4] == token("EMAIL", lines[4])
 
 
-def test_very_long_names_do_not_overflow(apply):
-    out = apply(["a." * 5_000 + "com"], lambda c: mask_text(c, MaskConfig("", targets=("FQDN",))))[0]
-    assert out is not None
+def test_names_of_any_number_of_labels(apply):
+    cfg = MaskConfig("", targets=("FQDN",))
+    names = ["a." * n + "com" for n in (2_001, 2_101, 50_000, 300_000)]
+    assert apply(names, lambda c: mask_text(c, cfg)) == [token("FQDN", name) for name in names]
+    # The name ends at its last top-level name, however much follows.
+    assert apply(["a." * 50_000 + "com." + "1." * 50_000], lambda c: mask_text(c, cfg)) == [
+        token("FQDN", "a." * 50_000 + "com") + "." + "1." * 50_000]
+    assert apply(["1." * 100_000], lambda c: mask_text(c, cfg)) == ["1." * 100_000]
+
+
+def test_names_are_those_of_the_pattern_that_gives_back(apply):
+    """Against the pattern with a loop that gives labels back, in another regex engine."""
+    ending = r"(?!(?i:zip|exe|dll|log|txt|png|core)\b)[a-zA-Z]{2,63}\b"
+    plain = re.compile(r"\b(?!\d+\.\d+\.\d+\.\d+)(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+" + ending)
+    rng = random.Random(7)
+    parts = ["a", "b", "com", "zip", "Exe", "1", "23", "-", "-", ".", ".", ".", ".", "_", "é", " ", "<", ">", "\ufdd0", "\ufdd1",
+             "x" * 62, "y" * 63, "logs", "org", "/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    want = [plain.sub(lambda m: token("FQDN", m[0]), text) for text in texts]
+    assert sum(a != b for a, b in zip(texts, want)) > 500
+    assert apply(texts, lambda c: mask_text(c, MaskConfig("", targets=("FQDN",)))) == want
 
 
 def test_mask_columns(spark):
@@ -212,10 +233,9 @@ def test_every_match_has_what_its_detector_needs(spark):
     lines = spark.createDataFrame([(v[0],) for v in VECTORS], "value string")
     steps = d.ALWAYS + d.ON_REQUEST
     text = F.col("value")
-    wrong = [F.sum((text.rlike(s.pattern) & ~(d.looks_like(text, s.needs)
-                                              & text.rlike(d.any_needed([s])))).cast("int"))
-             for s in steps]
-    found = [F.sum(text.rlike(s.pattern).cast("int")) for s in steps]
+    hits = [(s, F.size(s.pieces(text)) > 1 if isinstance(s, d.Detector) else text.rlike(s.pattern)) for s in steps]
+    wrong = [F.sum((hit & ~(d.looks_like(text, s.needs) & text.rlike(d.any_needed([s])))).cast("int")) for s, hit in hits]
+    found = [F.sum(hit.cast("int")) for _, hit in hits]
     assert set(lines.select(*wrong).first()) == {0}
     assert all(lines.select(*found).first())
 
