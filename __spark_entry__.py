@@ -18,7 +18,10 @@ from maskloom import MaskConfig, findings, mask_columns, mask_line, mask_text
 from maskloom.functions.tokens import key_token, type_code, typed_token
 from maskloom.operators import masking as m
 from maskloom.operators import reports
+from maskloom.operators.masking import masked_line, masked_text
+from maskloom.operators.vault import merge_vault, read_vault
 from maskloom.sinks.output_names import plan_output_names
+from maskloom.sources.paths import scratch_folder
 
 try:
     import corpus_pipeline
@@ -176,33 +179,33 @@ def _line_sql(name: str) -> str:
 # name: (masking, table, keys, text column, stages)
 
 _TEXTS: dict[str, tuple[Callable, str, tuple[str, ...], str, tuple]] = {
-    "mask_emails": (lambda c: m.mask_emails(c, DEFAULT), "documents", ("doc_id",), "text", (sql.EMAIL,)),
-    "mask_phones": (lambda c: m.mask_phones(c, DEFAULT), "documents", ("doc_id",), "text", (sql.PHONE,)),
-    "mask_cards": (lambda c: m.mask_cards(c, DEFAULT), "documents", ("doc_id",), "text", (sql.CARD,)),
-    "mask_ipv4": (lambda c: m.mask_ipv4(c, ALL), "documents", ("doc_id",), "text", (sql.IPV4,)),
-    "mask_thumbprints": (lambda c: m.mask_thumbprints(c, ALL), "documents", ("doc_id",), "text",
+    "mask_emails": (lambda c: m.mask_emails(F.col(c), DEFAULT), "documents", ("doc_id",), "text", (sql.EMAIL,)),
+    "mask_phones": (lambda c: m.mask_phones(F.col(c), DEFAULT), "documents", ("doc_id",), "text", (sql.PHONE,)),
+    "mask_cards": (lambda c: m.mask_cards(F.col(c), DEFAULT), "documents", ("doc_id",), "text", (sql.CARD,)),
+    "mask_ipv4": (lambda c: m.mask_ipv4(F.col(c), ALL), "documents", ("doc_id",), "text", (sql.IPV4,)),
+    "mask_thumbprints": (lambda c: m.mask_thumbprints(F.col(c), ALL), "documents", ("doc_id",), "text",
                          (sql.THUMB,)),
-    "mask_hostnames": (lambda c: m.mask_hostnames(c, ALL), "conversations", ("conv_id", "turn"), "text",
+    "mask_hostnames": (lambda c: m.mask_hostnames(F.col(c), ALL), "conversations", ("conv_id", "turn"), "text",
                        (sql.HOST,)),
-    "mask_fqdns": (lambda c: m.mask_fqdns(c, ALL), "pages", ("page_id",), "html", (sql.FQDN,)),
-    "mask_url_hosts": (lambda c: m.mask_url_hosts(c, DEFAULT), "pages", ("page_id",), "url", (sql.URL,)),
-    "mask_key_values_urls": (lambda c: m.mask_key_values(c, DEFAULT), "pages", ("page_id",), "url",
+    "mask_fqdns": (lambda c: m.mask_fqdns(F.col(c), ALL), "pages", ("page_id",), "html", (sql.FQDN,)),
+    "mask_url_hosts": (lambda c: m.mask_url_hosts(F.col(c), DEFAULT), "pages", ("page_id",), "url", (sql.URL,)),
+    "mask_key_values_urls": (lambda c: m.mask_key_values(F.col(c), DEFAULT), "pages", ("page_id",), "url",
                              (sql.KEY_VALUE,)),
-    "scrub_terms": (lambda c: m.scrub_terms(c, TERMS), "documents", ("doc_id",), "text",
+    "scrub_terms": (lambda c: m.scrub_terms(F.col(c), TERMS), "documents", ("doc_id",), "text",
                     ((r"(?i)example|a\.b\$c|éle", "[DOMAIN-LC]"),)),
-    "scrub_site_words": (lambda c: m.scrub_site_words(c, WORDS), "pages", ("page_id",), "html",
+    "scrub_site_words": (lambda c: m.scrub_site_words(F.col(c), WORDS), "pages", ("page_id",), "html",
                          ((r"(?i)\b(?:div|customer)\b", "[SITE-CODE]"),)),
-    "mask_documents_default": (lambda c: mask_text(c, DEFAULT), "documents", ("doc_id",), "text",
+    "mask_documents_default": (lambda c: masked_text(c, DEFAULT), "documents", ("doc_id",), "text",
                                sql.DEFAULT_CHAIN),
-    "mask_documents_all": (lambda c: mask_text(c, ALL), "documents", ("doc_id",), "text", sql.FULL_CHAIN),
-    "mask_pages_all": (lambda c: mask_text(c, ALL), "pages", ("page_id",), "html", sql.FULL_CHAIN),
+    "mask_documents_all": (lambda c: masked_text(c, ALL), "documents", ("doc_id",), "text", sql.FULL_CHAIN),
+    "mask_pages_all": (lambda c: masked_text(c, ALL), "pages", ("page_id",), "html", sql.FULL_CHAIN),
 }
 
 
 def _text_query(name: str) -> Query:
     masking, table, keys, column, _ = _TEXTS[name]
     return lambda spark, sf_dir: _table(spark, sf_dir, table, *keys, column).select(
-        *keys, masking(F.col(column)).alias("masked"))
+        *keys, masking(column).alias("masked"))
 
 
 def _text_sql(name: str) -> str:
@@ -249,7 +252,7 @@ def mask_conversations_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events", "event_id", "props").select(
-        "event_id", mask_line(F.col("props"), DEFAULT).alias("masked"))
+        "event_id", masked_line("props", DEFAULT).alias("masked"))
 
 
 # --- Reports --------------------------------------------------------------------------
@@ -274,6 +277,15 @@ def token_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.token_vault(findings(_documents(spark, sf_dir), [], "text", ALL))
 
 
+def vault_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vault after three runs: over the documents, over the conversations, and over the documents again."""
+    path = f"{scratch_folder(spark)}/vault"
+    conversations = _table(spark, sf_dir, "conversations", "text")
+    for table in (_documents(spark, sf_dir), conversations, _documents(spark, sf_dir)):
+        merge_vault(findings(table, [], "text", ALL), path)
+    return read_vault(spark, path)
+
+
 def correlate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.correlate_tokens(findings(_documents(spark, sf_dir), ["source"], "text", ALL))
 
@@ -322,6 +334,13 @@ def _residual_sql() -> str:
             f"WHERE {strip.format('value')} NOT IN (SELECT k FROM known) GROUP BY type")
 
 
+def _vault_merge_sql() -> str:
+    talks = Chain("SELECT text AS t FROM conversations", (), sql.FULL_CHAIN, "c")
+    found = f"SELECT value, token FROM ({_FULL.findings()}) UNION SELECT value, token FROM ({talks.findings()})"
+    return (f"WITH {', '.join(_FULL.ctes + talks.ctes)} "
+            f"SELECT split_part(token[2:], '-', 1) AS prefix, value, token FROM ({found})")
+
+
 def _run_report_sql() -> str:
     chain = Chain("SELECT doc_id, source, text, text AS t FROM documents", ("doc_id", "source", "text"),
                   sql.DEFAULT_CHAIN)
@@ -369,6 +388,7 @@ _PLAIN: dict[str, tuple[Query, str]] = {
     "token_vault": (
         token_vault,
         _FOUND + "SELECT DISTINCT split_part(token[2:], '-', 1) AS prefix, value, token FROM found"),
+    "vault_merge": (vault_merge, _vault_merge_sql()),
     "correlate_tokens": (
         correlate_tokens,
         _FOUND + "SELECT token, count(DISTINCT source) AS n_sources FROM found GROUP BY token "

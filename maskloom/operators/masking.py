@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.config import MaskConfig
 from maskloom.functions.matching import join_pieces, shield, unshield
+from maskloom.functions.reuse import built_once
 from maskloom.operators import detectors as d
 from maskloom.operators.detectors import Detector, Scrubber, any_needed
 from maskloom.operators.json_lines import mask_pieces
@@ -72,9 +73,21 @@ def mask_line(line: Column, cfg: MaskConfig) -> Column:
     return mask_pieces(line, lambda text: mask_text(text, cfg), cfg)
 
 
+@built_once
+def masked_text(name: str, cfg: MaskConfig) -> Column:
+    """`mask_text` of the column of this name."""
+    return mask_text(F.col(name), cfg)
+
+
+@built_once
+def masked_line(name: str, cfg: MaskConfig) -> Column:
+    """`mask_line` of the column of this name."""
+    return mask_line(F.col(name), cfg)
+
+
 def mask_columns(df: DataFrame, columns: Sequence[str], cfg: MaskConfig) -> DataFrame:
     """`df` with each of the named string columns masked as a line."""
-    return df.withColumns({name: mask_line(F.col(name), cfg) for name in columns})
+    return df.withColumns({name: masked_line(name, cfg) for name in columns})
 
 
 # One detector at a time -------------------------------------------------------

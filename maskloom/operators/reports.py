@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from maskloom.config import MaskConfig
 from maskloom.functions.matching import is_match, let, shield
+from maskloom.functions.reuse import built_once
 from maskloom.operators.detectors import Detector, Scrubber, active_detectors, any_needed
 from maskloom.operators.json_lines import is_maskable, line_pieces
-from maskloom.operators.masking import blocks_of, mask_line
+from maskloom.operators.masking import blocks_of, masked_line
 
 _FOUND = "array<struct<type:string,pos:int,value:string,token:string>>"
 _BRACKETS = r"\A\[|\]\z"
@@ -71,21 +72,39 @@ def findings(df: DataFrame, keep: Sequence[str], text: str, cfg: MaskConfig,
     is, and not at what the detectors before it have left. Holds raw sensitive
     values.
     """
-    def begin(part: Column) -> Column:
-        return F.struct(shield(part).alias("text"), F.array().cast(_FOUND).alias("found"))
+    walked = _walked(df.select(*keep, _begun(text, as_lines, cfg).alias("_states")), "_states", cfg, chained)
+    return walked.select(*keep, F.inline(_all_found("_states")))
 
+
+def _begin(part: Column) -> Column:
+    return F.struct(shield(part).alias("text"), F.array().cast(_FOUND).alias("found"))
+
+
+@built_once
+def _begun(text: str, as_lines: bool, cfg: MaskConfig) -> Column:
+    """The state of each part of a text before the first detector."""
     if as_lines:
-        states = F.transform(F.filter(line_pieces(F.col(text), cfg), is_maskable),
-                             lambda piece: begin(piece["text"]))
-    else:
-        states = F.array(begin(F.col(text)))
-    walked = df.select(*keep, states.alias("_states"))
+        return F.transform(F.filter(line_pieces(F.col(text), cfg), is_maskable), lambda piece: _begin(piece["text"]))
+    return F.array(_begin(F.col(text)))
+
+
+@built_once
+def _observed(states: str, number: int, cfg: MaskConfig, mask: bool) -> Column:
+    """The states after a block of the chain."""
+    return F.transform(states, _observe_block(blocks_of(active_detectors(cfg))[number], cfg, mask))
+
+
+def _walked(df: DataFrame, states: str, cfg: MaskConfig, mask: bool) -> DataFrame:
     # One select per block keeps each expression small for the analyzer; the
     # optimizer makes one projection of them.
-    for block in blocks_of(active_detectors(cfg)):
-        walked = walked.withColumn("_states", F.transform("_states", _observe_block(block, cfg, chained)))
-    found = F.flatten(F.transform("_states", lambda state: state["found"]))
-    return walked.select(*keep, F.inline(found))
+    for number in range(len(blocks_of(active_detectors(cfg)))):
+        df = df.withColumn(states, _observed(states, number, cfg, mask))
+    return df
+
+
+@built_once
+def _all_found(states: str) -> Column:
+    return F.flatten(F.transform(states, lambda state: state["found"]))
 
 
 def pii_counts(found: DataFrame, source: str = "source") -> DataFrame:
@@ -163,26 +182,19 @@ def audit_masking(df: DataFrame, text: str, cfg: MaskConfig, audit: MaskConfig)
     Each text is walked through the chain of `cfg`, and what comes out is looked at by
     the detectors of `audit` in the same row; the tokens that the chain made are known.
     """
-    states = F.array(F.struct(shield(F.col(text)).alias("text"), F.array().cast(_FOUND).alias("found")))
-    walked = df.select(states.alias("_states"))
-    for block in blocks_of(active_detectors(cfg)):
-        walked = walked.withColumn("_states", F.transform("_states", _observe_block(block, cfg, True)))
+    walked = _walked(df.select(_begun(text, False, cfg).alias("_states")), "_states", cfg, True)
     walked = walked.withColumn("_audit", F.transform("_states", lambda state: F.struct(
         state["text"].alias("text"), F.array().cast(_FOUND).alias("found"))))
-    for block in blocks_of(active_detectors(audit)):
-        walked = walked.withColumn("_audit", F.transform("_audit", _observe_block(block, audit, False)))
+    walked = _walked(walked, "_audit", audit, False)
 
     def bare(value: Column) -> Column:
         return F.regexp_replace(value, _BRACKETS, "")
 
-    def flat(states: str) -> Column:
-        return F.flatten(F.transform(states, lambda state: state["found"]))
-
-    tokens = F.filter(flat("_states"), lambda f: f["token"].rlike(_TOKEN))
+    tokens = F.filter(_all_found("_states"), lambda f: f["token"].rlike(_TOKEN))
     known = F.transform(tokens, lambda f: F.struct(
         bare(f["token"]).alias("inner"), F.lit(None).cast("string").alias("type"),
         F.lit(None).cast("string").alias("value"), F.lit(True).alias("known"), F.lit(0).cast("long").alias("n")))
-    left = F.transform(flat("_audit"), lambda f: F.struct(
+    left = F.transform(_all_found("_audit"), lambda f: F.struct(
         bare(f["value"]).alias("inner"), f["type"].alias("type"), f["value"].alias("value"),
         F.lit(False).alias("known"), F.lit(1).cast("long").alias("n")))
     return _audit_counts(walked.select(F.inline(F.concat(known, left))))
@@ -191,7 +203,7 @@ def audit_masking(df: DataFrame, text: str, cfg: MaskConfig, audit: MaskConfig)
 def run_report(lines: DataFrame, source: str, text: str, cfg: MaskConfig) -> DataFrame:
     """Lines, changed lines and characters per source."""
     masked = lines.select(F.col(source).alias("source_file"), F.col(text).alias("before"),
-                          mask_line(F.col(text), cfg).alias("after"))
+                          masked_line(text, cfg).alias("after"))
     return masked.groupBy("source_file").agg(
         F.count("*").alias("n_lines"),
         F.sum((~F.col("before").eqNullSafe(F.col("after"))).cast("long")).alias("n_changed"),

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from maskloom.config import MASKED_SUFFIX, SALT_REDACTION_REGEX, TREE_EXTENSIONS, MaskConfig
-from maskloom.operators.masking import mask_line
+from maskloom.operators.masking import masked_line
 from maskloom.sinks.log_files import Staging, check_target, commit, staging_folder, write_staged
 from maskloom.sinks.output_names import plan_output_names
 from maskloom.sources import store
@@ -74,7 +74,7 @@ def _mask_and_stage(files: DataFrame, staging: Staging, cfg: MaskConfig) -> dict
     told = F.to_json(F.struct("log_key", "part_path", "problem"))
     masked = rows.select(
         F.when(problem, _UNREAD).otherwise(F.col("log_key")).alias("log_key"), "part_no", "line_id",
-        F.when(problem, told).otherwise(mask_line(F.col("value"), cfg)).alias("value"), F.col("value").alias("before"))
+        F.when(problem, told).otherwise(masked_line("value", cfg)).alias("value"), F.col("value").alias("before"))
     seen = Observation()
     write_staged(masked.observe(
         seen, F.count("before").alias("n_lines"),

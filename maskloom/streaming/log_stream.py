@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from maskloom.config import MaskConfig
-from maskloom.operators.masking import mask_line
+from maskloom.operators.masking import masked_line
 from maskloom.plans.jobs import hide_salts
 from maskloom.sources.log_files import clean_extensions
 from maskloom.sources.log_source import FORMAT, LogSource
@@ -39,7 +39,7 @@ def read_log_stream(spark: SparkSession, directory: str, cfg: MaskConfig, state:
 
 def mask_stream(stream: DataFrame, column: str, cfg: MaskConfig) -> DataFrame:
     """A text stream of any source with one column masked."""
-    return stream.withColumn(column, mask_line(F.col(column), cfg))
+    return stream.withColumn(column, masked_line(column, cfg))
 
 
 def checkpoint_folder(spark: SparkSession, name: str) -> str:
