@@ -39,9 +39,11 @@ def new_tokens(found: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame
     """The tokens of findings that the vault below `path` doesn't have, dealt to its buckets."""
     spark = found.sparkSession
     name, n = _opened(spark, path, buckets)
-    # Equal tokens are one row per task before they are dealt out, so a token found everywhere is no burden.
+    # Equal tokens are one row per task before they are dealt out, so a token found everywhere is no burden. (An
+    # anti join would be moved in front of that by the optimizer.)
     dealt = token_vault(found).repartition(n, *_KEY)
-    return dealt.join(spark.table(name).select(*_KEY).hint("merge"), list(_KEY), "left_anti").select("prefix", "value", "token")
+    old = spark.table(name).select(*_KEY, F.lit(True).alias("known")).hint("merge")
+    return dealt.join(old, list(_KEY), "left").where(F.col("known").isNull()).select("prefix", "value", "token")
 
 
 def merge_vault(found: DataFrame, path: str, buckets: int = BUCKETS) -> int:
