@@ -42,6 +42,9 @@ TREE_EXTENSIONS = (".log", ".txt", ".csv", ".json", ".xml", ".out", ".trace")
 MASKED_SUFFIX = "_sanitized"
 MASKED_LOG_ENDING = "_sanitized.log"
 
+# How deep a JSON object may be nested to be masked as one.
+JSON_DEPTH = 64
+
 DEFAULT_PLACEHOLDER = "[REDACTED]"
 JOB_PLACEHOLDER = "***"
 DEFAULT_TARGETS = ("IPv4Address", "Email")
@@ -70,6 +73,8 @@ class MaskConfig:
     `scrub_terms` are removed wherever they occur, ignoring case; `site_words`
     are removed as whole words.
 
+    Objects nested deeper than `json_depth` are masked as text.
+
     `json_ascii` writes JSON strings with every character outside plain ASCII,
     and each of <>&'+`", as a \\u escape; with False they are written as they
     are. Both spell the same JSON value.
@@ -81,6 +86,7 @@ class MaskConfig:
     placeholder: str = DEFAULT_PLACEHOLDER
     extensions: tuple[str, ...] = LOG_EXTENSIONS
     detect_json: bool = True
+    json_depth: int = JSON_DEPTH
     json_ascii: bool = True
     overwrite: bool = False
     scrub_terms: tuple[str, ...] = ()

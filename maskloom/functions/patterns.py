@@ -68,6 +68,15 @@ JSON_OBJECT_SHAPE = r"(?U)\A\s*\{[\s\S]*\}\s*\z"
 # matched, keys too: skipping keys would pair up the wrong quotes.
 JSON_STRING = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'
 
+# Validity of JSON: a valid string, a number or literal, what remains when both are tokens, and an innermost
+# object or list of tokens. A loop over members never has to give one back.
+VALID_JSON_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+JSON_SCALAR = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null"
+STRING_TOKEN, VALUE_TOKEN = f"{MARK}s", f"{MARK}v"
+ONLY_TOKENS = rf"\A[{{}}\[\],:{MARK}sv]*+\z"
+_ANY, _MEMBER = f"{MARK}[sv]", f"{STRING_TOKEN}:{MARK}[sv]"
+INNERMOST = rf"\{{(?:{_MEMBER}(?:,{_MEMBER})*+)?+\}}|\[(?:{_ANY}(?:,{_ANY})*+)?+\]"
+
 
 _CLASS = re.compile(r"(?<!\\)\[((?:[^\]\\]|\\.)*)\]")
 _RANGE = re.compile(r"([A-Za-z0-9])-([A-Za-z0-9])")

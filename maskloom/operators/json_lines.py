@@ -13,13 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from maskloom.config import MaskConfig
+from maskloom.config import JSON_DEPTH, MaskConfig
 from maskloom.functions import patterns as rx
 from maskloom.functions.matching import is_match, join_pieces, let, shield, split_matches, unshield
 
-MAX_JSON_DEPTH = 64
-# From this length on a line is shortened before the parser sees it.
-_LONG_LINE = 1 << 20
 _ANY_LENGTH = {"maxStringLen": str(2 ** 31 - 1)}
 
 # Kinds of pieces.
@@ -35,49 +32,29 @@ def has_object_shape(line: Column) -> Column:
     return line.rlike(rx.JSON_OBJECT_SHAPE)
 
 
-def _depth_fits(line: Column) -> Column:
-    """Whether braces and brackets outside strings nest no deeper than allowed."""
-    bare = F.regexp_replace(line, rx.JSON_STRING, "")
-    brackets = F.regexp_replace(bare, r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
+def _skeleton(line: Column) -> Column:
+    """The line with each valid string and each number or literal as a token, and no spaces.
 
-    def follow(seen: Column, bracket: Column) -> Column:
-        depth = seen["depth"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(depth.alias("depth"), F.greatest(seen["deepest"], depth).alias("deepest"))
-
-    deepest = F.aggregate(F.split(brackets, ""), start, follow, lambda seen: seen["deepest"])
-    # Few lines have enough brackets for the count to matter.
-    return F.when(F.length(brackets) <= 2 * MAX_JSON_DEPTH, F.lit(True)).otherwise(
-        deepest <= MAX_JSON_DEPTH)
-
-
-def is_json_object(line: Column) -> Column:
-    """Whether the line is one valid JSON object and nothing else.
-
-    The parser stops at the end of the first value, so the line is tried inside
-    a list and inside an object; no trailing text is valid in both.
+    A token is a mark, which occurs nowhere else in a shielded text, and a letter. What is no JSON is left over.
     """
-    def valid(text: Column) -> Column:
-        in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-        in_object = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
-        return in_list.isNotNull() & in_object.isNotNull() & _depth_fits(text)
-
-    long = F.length(line) > _LONG_LINE
-    return (F.when(~has_object_shape(line), False)
-            .when(long, let(_shortened(line), valid)).otherwise(valid(line)))
+    text = F.regexp_replace(shield(line), rx.VALID_JSON_STRING, rx.STRING_TOKEN)
+    # Where something is left over, it has a character that no JSON has outside of strings.
+    text = F.regexp_replace(text, rx.JSON_SCALAR, rx.VALUE_TOKEN)
+    return F.regexp_replace(text, r"[ \t\r\n]+", "")
 
 
-def _shortened(line: Column) -> Column:
-    """The line with long plain stretches of its string values left out, which is as valid as the line.
+def is_json_object(line: Column, depth: int = JSON_DEPTH) -> Column:
+    """Whether the line is one valid JSON object, nested no deeper than `depth`, and nothing else.
 
-    The parser takes strings and documents up to a length only, and no stretch of plain
-    characters makes a string invalid.
+    One pass makes tokens; then every pass takes the innermost objects and lists for values, as a parser
+    reduces its stack, until one value is left. Keys may repeat.
     """
-    # The first few characters may belong to an escape.
-    plain = r'([^"\\\x00-\x1f]{8})[^"\\\x00-\x1f]{64,}+'
-    pieces = split_matches(shield(line), rx.JSON_STRING)
-    return unshield(join_pieces(pieces, lambda piece: F.when(
-        F.endswith(piece, F.lit(":")), piece).otherwise(F.regexp_replace(piece, plain, "$1"))))
+    def reduced(tokens: Column) -> Column:
+        step = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), tokens, lambda rest, _: F.when(
+            rest != rx.VALUE_TOKEN, F.regexp_replace(rest, rx.INNERMOST, rx.VALUE_TOKEN)).otherwise(rest))
+        return tokens.rlike(rx.ONLY_TOKENS) & (step == rx.VALUE_TOKEN)
+
+    return F.coalesce(F.when(has_object_shape(line), let(_skeleton(line), reduced)), F.lit(False))
 
 
 def _unescape(literal: Column) -> Column:
@@ -126,7 +103,7 @@ def line_pieces(line: Column, cfg: MaskConfig) -> Column:
     if not cfg.detect_json:
         return whole
     return (F.when(is_blank(line), F.array(_piece(_GAP, line)))
-            .when(is_json_object(line), _json_pieces(line))
+            .when(is_json_object(line, cfg.json_depth), _json_pieces(line))
             .otherwise(whole))
 
 

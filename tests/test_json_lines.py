@@ -1,3 +1,6 @@
+import json
+import random
+
 from pyspark.sql import functions as F
 from helpers import token
 
@@ -42,7 +45,35 @@ def test_other_lines_take_the_text_route(apply):
 def test_validity(apply):
     lines = ['{"a":1}] {}', '{"a":1}} {"b":2}', '{"a":1},{"b":2}', '{"a":01}', '{"a":NaN}',
              '{"a":1}', ' {"a":[{}]} ', '{"a":1,"a":2}', None]
-    assert apply(lines, is_json_object) == [False] * 5 + [True, True, False, False]
+    assert apply(lines, is_json_object) == [False] * 5 + [True, True, True, False]
+
+
+def test_keys_may_repeat(apply):
+    assert masked(apply, ['{"a":"test@example.com","a":"x","A":"test@example.com"}']) == [f'{{"a":"{MAIL}","a":"x","A":"{MAIL}"}}']
+
+
+def test_validity_against_another_parser(apply):
+    """Lines put together at random, most of them broken, against Python's parser with its extras ruled out."""
+    rng = random.Random(11)
+    parts = ["{", "}", "[", "]", ",", ":", '"a"', '"b\\n"', '"\\u00e9"', '"\\q"', '"x', '"\t"', "1", "-0.5e+3", "01", "1.", "true", "null",
+             "nul", " ", " ", "NaN", "\ufdd0v", "\ufdd0", "v", "\u00a0", '""', "-", '{"k":', '"k":1', "[]", "{}"]
+
+    def strict(_):
+        raise ValueError
+
+    def plain(line):
+        try:
+            if line.strip(" \t\r\n") != line.strip():
+                return False
+            return isinstance(json.loads(line, parse_constant=strict), dict)
+        except ValueError:
+            return False
+
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    lines += ["{" + ",".join(f'"k":{rng.choice(parts)}' for _ in range(rng.randrange(4))) + "}" for _ in range(6000)]
+    want = [plain(line) for line in lines]
+    assert 500 < sum(want) < 9000
+    assert [(line, got) for line, got, is_json in zip(lines, apply(lines, is_json_object), want) if got != is_json] == []
 
 
 def test_depth(apply):
@@ -51,6 +82,11 @@ def test_depth(apply):
 
     wide = '{"a":[' + ",".join(["{}"] * 200) + "]}"
     assert apply([nested(64), nested(65), wide], is_json_object) == [True, False, True]
+    assert apply([nested(3), nested(4)], lambda c: is_json_object(c, 3)) == [True, False]
+    line = nested(2).replace("{{{[[[", "test@example.com")
+    assert masked(apply, [line], MaskConfig.default("", json_depth=1)) == [line.replace("test@example.com", MAIL)]
+    many = '{"a":[' + ",".join(['{"b":[1,"x"]}'] * 50_000) + "]}"
+    assert apply([many, many[:-1] + ",}"], is_json_object) == [True, False]
 
 
 def test_escapes(apply):
