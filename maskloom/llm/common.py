@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from bisect import bisect_left
 from itertools import accumulate
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -45,15 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors.
 
-    The files go when the session ends.
+    The files go when the session ends, or by `dropped`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(hadoop).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = _folder(spark, path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STORED[back] = path
+    return back
+
+
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more: what came of them has been written."""
+    for table in tables:
+        folder = _folder(table.sparkSession, _STORED.pop(table))
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 Span = tuple[str, int, int]
