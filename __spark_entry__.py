@@ -9,6 +9,7 @@ in another regex engine (`checks/sql_chain.py`).
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,14 +24,15 @@ from maskloom.operators.vault import merge_vault, read_vault
 from maskloom.sinks.output_names import plan_output_names
 from maskloom.sources.paths import scratch_folder
 
-try:
+_HERE = Path(__file__).resolve().parent
+LLM_QUERIES, LLM_SQL = {}, {}
+# Where the operators for training text are there, an error in them is an error here.
+if (_HERE / "maskloom" / "llm" / "queries.py").exists() and (_HERE / "corpus_pipeline.py").exists():
     import corpus_pipeline
-    from maskloom.llm.queries import QUERIES as LLM_QUERIES, SQL as LLM_SQL
-except ImportError:
-    LLM_QUERIES, LLM_SQL = {}, {}
-else:
-    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
-    LLM_SQL = {**LLM_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    from maskloom.llm.queries import QUERIES, SQL
+
+    LLM_QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = {**SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
