@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskloom.llm.common import NON_WORD, words
+from maskloom.llm.common import NON_WORD, stored, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Windows start at every STRIDE-th word of a text; an item has a fingerprint for each way to lie against them.
@@ -22,6 +23,8 @@ RADIUS, BLOCKS = 7, 4
 PART, LEAST_PARTED = 8, 9
 #: Benchmark items that one pass over the documents looks for; more items take more passes.
 ITEMS_PER_PASS = 5_000
+#: Words that may stand between two neighbouring parts of an item for them to be one passage.
+LARGEST_INSERTION = 256
 #: Words of text whose bits are summed at a time.
 CHUNK = 1 << 16
 
@@ -173,29 +176,52 @@ class Benchmark:
 
     def _verified(self, hashes: np.ndarray, ends: np.ndarray,
                   seen: set[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for row, item, start in sorted(seen):
-            words_in_item = len(self.items[item][1])
+        found = []
+        for (row, item), places in groupby(sorted(seen), key=lambda at: at[:2]):
             low, high = (int(ends[row - 1]) if row else 0), int(ends[row])
-            slack = max(2, words_in_item // 8)
-            a, b = max(low, start - slack), min(high, start + words_in_item + slack)
-            weights = self.weights[item]
-            share = sum(weights.get(s, 0.0) for s in shingles(hashes[a:b]).tolist()) / self.totals[item]
-            if words_in_item < SHINGLE:
-                share = float(np.array_equal(hashes[max(low, start):start + words_in_item], self.items[item][1]))
-            if share >= SIMILARITY and share > best.get((row, item), (0.0, 0, 0))[0]:
-                best[row, item] = share, max(low, start) - low, min(high, start + words_in_item) - low
-        return [(row, item, a, b, share) for (row, item), (share, a, b) in sorted(best.items())]
-
-
-def benchmark_passes(items: DataFrame) -> list[Benchmark]:
-    """The items, ITEMS_PER_PASS or so at a time."""
-    n = max(1, -(-items.count() // ITEMS_PER_PASS))
-    rows = items.select(F.col("item_id").cast("long"), word_hashes(F.col("text")).alias("w"))
-    parts = [[(r["item_id"], np.array(r["w"], np.int64)) for r in rows.where(
-        F.pmod(F.xxhash64("item_id", "w"), F.lit(n)) == k).collect()] for k in range(n)]
-    spread = shingle_spread(w for part in parts for _, w in part if len(w))
-    return [Benchmark(part, spread) for part in parts]
+            starts = np.array([start for _, _, start in places])
+            best = max((self._share(hashes, low, high, item, start, start) for start in starts.tolist()), key=lambda at: (at[0], -at[1]))
+            if best[0] < SIMILARITY:  # words may have been put in: parts near each other are one passage
+                near = np.split(starts, np.flatnonzero(np.diff(starts) > LARGEST_INSERTION) + 1)
+                best = max((self._share(hashes, low, high, item, int(part[0]), int(part[-1])) for part in near),
+                           key=lambda at: (at[0], -at[1]))
+            if best[0] >= SIMILARITY:
+                found.append((row, item, best[1] - low, best[2] - low, best[0]))
+        return found
+
+    def _share(self, hashes: np.ndarray, low: int, high: int, item: int, first: int, last: int) -> tuple[float, int, int]:
+        """The share of the item's shingles in the words that it would take if it began at places from first to last."""
+        n = len(self.items[item][1])
+        slack = max(2, n // 8)
+        start, end = max(low, first), min(high, last + n)
+        if n < SHINGLE:
+            return float(np.array_equal(hashes[start:start + n], self.items[item][1])), start, min(high, start + n)
+        weights = self.weights[item]
+        words = hashes[max(low, first - slack):min(high, last + n + slack)]
+        return sum(weights.get(s, 0.0) for s in shingles(words).tolist()) / self.totals[item], start, end
+
+
+def benchmark_passes(items: DataFrame) -> Iterator[Benchmark]:
+    """The items, ITEMS_PER_PASS or so at a time: the driver holds those of one pass only.
+
+    How many items have a shingle is counted over all of them in Spark.
+    """
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(s=[shingles(np.asarray(w, np.int64)).view(np.int64) for w in batch["w"]])
+
+    rows = stored(items.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long"),
+                               word_hashes(F.col("text")).alias("w")).where(F.size("w") > 0)
+                  .mapInPandas(cut, "row long, item_id long, w array<long>, s array<long>"), "items")
+    shared = rows.select("row", F.explode("s").alias("s"))
+    spread = (shared.join(shared.groupBy("s").agg(F.count("*").alias("n")), "s")
+              .groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("spread")))
+    n = max(1, -(-rows.count() // ITEMS_PER_PASS))
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(n)) == k).drop("s").join(spread, "row").collect()
+        if part or not k:
+            counts = {int(s) & (1 << 64) - 1: c for r in part for s, c in r["spread"]}
+            yield Benchmark([(r["item_id"], np.array(r["w"], np.int64)) for r in part], Counter(counts))
 
 
 def _flat(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +236,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each benchmark item that stands in a document, at its best place.
 
     Similarity is the weighted share of the item's 5-word shingles in the place found;
-    SIMILARITY is asked. Null, empty and wordless texts and items never match, items of
+    SIMILARITY is asked. Of equally good places the earliest is reported. Where no place alone
+    has enough, parts of the item LARGEST_INSERTION words or less apart are one passage, from the first to the
+    last. Null, empty and wordless texts and items never match, items of
     fewer words match as a whole; repeated rows are reported as often as they stand; a null id
     stays null; empty tables give no rows; other columns are not read.
     """
@@ -228,11 +256,21 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         return hashed.mapInPandas(run, LEAKS)
 
     hashed = docs.select(F.col("doc_id").cast("long"), word_hashes(F.col("text")).alias("w"))
-    return reduce(DataFrame.unionAll, [search(b) for b in benchmark_passes(items)])
+    passes = benchmark_passes(items)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return search(first)
+    # Words are hashed once for all passes, and what a pass found is written before the next one's items come.
+    hashed = stored(hashed, "words")
+    return reduce(DataFrame.unionAll, [stored(search(b), "leaks") for b in chain([first, second], passes)])
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item stands, unchanged."""
+    """The documents in which no benchmark item stands, unchanged.
+
+    Null, empty and repeated rows are judged as in `leaks`; without items all documents stay; an empty table
+    stays empty.
+    """
     def without(benchmark: Benchmark, docs: DataFrame) -> DataFrame:
         @F.pandas_udf("boolean")
         def clean(texts: pd.Series) -> pd.Series:

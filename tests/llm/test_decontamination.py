@@ -108,10 +108,34 @@ def test_edits_that_similarity_allows_for_are_never_missed():
     assert missed == 0
 
 
+def test_items_with_words_put_in_or_left_out_are_found():
+    rng = np.random.default_rng(9)
+    item = lambda n: rng.integers(-2 ** 63, 2 ** 63 - 1, n)
+    for n, put_in, left_out in ((30, 30, 0), (100, 30, 0), (100, 40, 0), (100, 60, 0), (100, 200, 0), (60, 256, 0), (100, 0, 10), (200, 0, 20)):
+        for _ in range(20):
+            w = item(n)
+            at = int(rng.integers(14, n - 14 - left_out))
+            changed = np.concatenate([w[:at], item(put_in), w[at + left_out:]])
+            text = np.concatenate([item(40), changed, item(50)])
+            (row, which, first, end, share), = dc.Benchmark([(1, w)]).find(text, np.array([len(text)]))
+            assert share >= dc.SIMILARITY and -n // 3 <= first - 40 and first < end and end - 40 - len(changed) <= n // 3
+    w = item(100)
+    apart = np.concatenate([w[:50], item(400), w[50:]])  # two halves far from each other are no passage
+    assert not dc.Benchmark([(1, w)]).find(apart, np.array([len(apart)]))
+
+
+def test_the_earliest_of_equal_places_wins():
+    w = np.arange(40) * 0x9E3779B97F4A7C1
+    text = np.concatenate([np.arange(7) + 10 ** 9, w, np.arange(90) + 10 ** 10, w])
+    (_, _, first, end, share), = dc.Benchmark([(1, w)]).find(text, np.array([len(text)]))
+    assert share == 1.0 and first <= 7 and end - first == 40
+
+
 def test_spread_counts_the_items_of_all_passes(spark, monkeypatch):
     common = prose("common", 12)
     tests = items(spark, [f"{common} {prose(f'own {i}', 12)}" for i in range(6)])
     whole, = dc.benchmark_passes(tests)
+    assert len(whole.items) == 6
     monkeypatch.setattr(dc, "ITEMS_PER_PASS", 2)
     totals = sorted(t for b in dc.benchmark_passes(tests) for t in b.totals)
     assert np.allclose(totals, sorted(whole.totals))
