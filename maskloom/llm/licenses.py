@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from maskloom.llm.common import NON_WORD, words
 
@@ -69,8 +69,8 @@ def licence_spans(docs: DataFrame) -> DataFrame:
     """Where licences stand. docs: doc_id, key, text. A row per span, once for equal (doc_id, key).
 
     Every rolling k-gram meets the templates; hits are counted by diagonal (place in the
-    text less place in the template), diagonals NEAR each other are merged, and a span
-    stands if enough of the template's k-grams lie on it: all of a phrase's.
+    text less place in the template), diagonals NEAR each other are merged up to a template's length, and a span
+    stands if enough of the template's k-grams lie on it, all of a phrase's, and no sibling covers it better.
     """
     rolling = grams(docs.select("doc_id", "key", words(F.col("text"), NON_WORD).alias("a")), "doc_id", "key")
     hits = rolling.join(F.broadcast(template_grams(docs.sparkSession)),
@@ -81,17 +81,49 @@ def licence_spans(docs: DataFrame) -> DataFrame:
                  .agg(F.collect_set("t_pos").alias("places")))
     along = Window.partitionBy(*row).orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("exact"), 0).otherwise(NEAR)
-    merged = (diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
-              .withColumn("span", F.sum("new").over(along))
-              .groupBy(*row, "span")
-              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"),
-                   F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
-                   F.max(F.col("diagonal") + F.array_max("places") + K).alias("end")))
-    coverage = F.col("n") / F.col("n_grams")
-    enough = (F.col("n") >= LEAST_GRAMS) & (coverage >= COVERAGE) & \
-             (F.col("end") - F.col("start") <= 2 * (F.col("n_grams") + K))
-    return (merged.where(F.when(F.col("exact"), coverage == 1).otherwise(enough))
-            .select("doc_id", "key", "label", "exact", "start", "end", coverage.alias("coverage")))
+    runs = (diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
+            .withColumn("run", F.sum("new").over(along)))
+    # A span begins at each diagonal of a run and takes those up to a template's length on, which is how many words may
+    # be put in. Of spans so near that the template can't have started again between them the best stands.
+    longest = max(len(t.split()) for t in (*PHRASES, *TEMPLATES.values())) * 2
+    of_run = Window.partitionBy(*row, "run").orderBy("diagonal")
+    reach = F.when(F.col("exact"), 0).otherwise(F.col("n_grams"))
+    on = F.filter(F.collect_list(F.struct("diagonal", "places")).over(of_run.rangeBetween(0, longest)),
+                  lambda x: x["diagonal"] <= F.col("diagonal") + reach)
+    spans = (runs.withColumn("on", on)
+             .select(*row, "run", "diagonal",
+                     F.size(F.array_distinct(F.flatten(F.col("on.places")))).alias("n"),
+                     F.array_min(F.transform("on", lambda x: x["diagonal"] + F.array_min(x["places"]))).alias("start"),
+                     (F.array_max(F.transform("on", lambda x: x["diagonal"] + F.array_max(x["places"]))) + K).alias("end"))
+             .withColumn("coverage", F.col("n") / F.col("n_grams"))
+             .where(F.when(F.col("exact"), F.col("coverage") == 1)
+                    .otherwise((F.col("n") >= LEAST_GRAMS) & (F.col("coverage") >= COVERAGE))))
+    rank = F.struct("coverage", (-F.col("diagonal")).alias("early"), "diagonal")
+    around = F.filter(F.collect_list(rank).over(of_run.rangeBetween(-longest, longest)),
+                      lambda x: F.abs(x["diagonal"] - F.col("diagonal")) <= reach)
+    return best_siblings(spans.withColumn("around", around).where(F.array_max("around")["diagonal"] == F.col("diagonal")))
+
+
+def best_siblings(spans: DataFrame) -> DataFrame:
+    """Without spans of notices of which another licence's covers more, at half of their words or more.
+
+    Notices of one family share most of their words. Phrases all stay.
+    """
+    doc = ["doc_id", "key", "exact"]
+    along = Window.partitionBy(*doc).orderBy("start", "end", "template")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    together = Window.partitionBy(*doc, "island")
+
+    def better(o: Column) -> Column:
+        shared = F.least(F.col("end"), o["end"]) - F.greatest(F.col("start"), o["start"])
+        more = (o["coverage"] > F.col("coverage")) | ((o["coverage"] == F.col("coverage")) & (o["n"] > F.col("n")))
+        return (o["label"] != F.col("label")) & more & (2 * shared >= F.col("end") - F.col("start"))
+
+    return (spans.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+            .withColumn("island", F.sum("new").over(along))
+            .withColumn("others", F.collect_list(F.struct("label", "start", "end", "coverage", "n")).over(together))
+            .where(F.col("exact") | ~F.exists("others", better))
+            .select("doc_id", "key", "label", "exact", "start", "end", "coverage"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -49,6 +49,26 @@ def test_changed_notices_are_found_along_their_diagonals(spark):
     assert rows[1]["labels"] == "" and rows[1]["score"] == 0
 
 
+def test_each_notice_alone_gives_its_own_label(spark):
+    notices = list(licenses.TEMPLATES.items())
+    cases = [f"Copyright by us. {text}. All the rest." for _, text in notices]
+    rows = {r["doc_id"]: r for r in licenses.report(docs(spark, cases)).collect()}
+    for i, (label, _) in enumerate(notices):
+        assert rows[i]["labels"] == label and rows[i]["score"] == 1
+
+
+def test_notices_side_by_side_and_before_repeated_pieces_keep_their_labels(spark):
+    by, sa, mit = (licenses.TEMPLATES[x] for x in ("cc-by", "cc-by-sa", "mit"))
+    cases = [by + " commons attribution 4 0" * 20, "commons attribution 4 0 " * 20 + by, f"{by} {sa}", f"{mit} {mit} {by}",
+             "commons attribution 4 0 " * 300]
+    df = docs(spark, cases)
+    rows = {r["doc_id"]: r["labels"] for r in licenses.report(df).collect()}
+    assert [rows[i] for i in range(5)] == ["cc-by", "cc-by", "cc-by,cc-by-sa", "cc-by,mit", ""]
+    spans = licenses.licence_spans(df).where("doc_id = 3").orderBy("start").collect()
+    n = len(re.findall(WORD, lower(mit)))
+    assert [(r["label"], r["start"], r["end"]) for r in spans[:2]] == [("mit", 0, n), ("mit", n, 2 * n)] and len(spans) == 3
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = licenses.report(docs(spark, ["cc by nc", "cc by nc", "none", "cc by nc"], [None, None, 5, 5])).collect()
     assert sorted((r["doc_id"] or -1, r["n_base"]) for r in rows) == [(-1, 1), (-1, 1), (5, 0), (5, 1)]
