@@ -22,8 +22,10 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
 _SENSITIVE = re.compile("pass|secret|token|key|auth|bearer|credential|private|signature|session|pwd", re.I | re.A)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_=.~-]{16,}")
-#: How far from a sensitive word a candidate may begin, and how much text around it primes the compressor.
-REACH, SURROUNDINGS = 64, 1024
+#: A line of a list, of a wrapped value or of a key block: nothing, or one long string with the marks around it.
+_ENTRY = re.compile(r"""[\x20\t]*+(?:[-*][\x20\t]++)?["'`(\[{<]*+(?:[A-Za-z0-9+/_=.~-]{16,}+["'`)\]}>,;]*+)?[\x20\t\r\\]*+""")
+#: Characters on either side of a candidate that prime the compressor: the code around it.
+SURROUNDINGS = 1024
 #: The identifier dictionary: names left of = or :, the commonest of the corpus.
 IDENTIFIER, IDENTIFIERS = r"""([A-Za-z_][A-Za-z0-9_.-]{2,40})["']?\x20*[:=]""", 1000
 #: Marginal compressed bytes per character from which a candidate is new.
@@ -53,20 +55,22 @@ def marginal_bytes(candidate: str, surroundings: str, identifiers: bytes) -> int
 
 
 def candidate_places(text: str) -> list[tuple[int, int]]:
-    """Long strings of mixed characters that begin on the line of a sensitive word, at most REACH after it."""
-    places = set()
-    for word in _SENSITIVE.finditer(text):
-        at = word.end()
-        while m := _CANDIDATE.search(text, at, at + REACH + 16):
-            if m.start() > word.end() + REACH or "\n" in text[word.end():m.start()]:
-                break
-            m = _CANDIDATE.match(text, m.start())
-            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
-                places.add(m.span())
-            at = m.end()
-            if at > word.end() + REACH:
-                break
-    return sorted(places)
+    """Long strings of mixed characters in a sensitive place, in the order of the text.
+
+    Such a place goes from a sensitive word to the end of its line, and on over the lines after it as
+    long as these are empty or hold one long string only: wrapped values, key blocks, lists. Time grows with the text.
+    """
+    places, at, inside = [], 0, False
+    for line in text.split("\n"):
+        word = _SENSITIVE.search(line)
+        inside = word is not None or inside and _ENTRY.fullmatch(line) is not None
+        if inside:
+            for m in _CANDIDATE.finditer(line):
+                # What follows a sensitive word, or is a line of its own after one.
+                if (word is None or m.start() >= word.end()) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                    places.append((at + m.start(), at + m.end()))
+        at += len(line) + 1
+    return places
 
 
 def novel_spans(text: str, identifiers: bytes) -> list[Span]:
@@ -86,6 +90,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     Two passes: names are counted over the corpus for the dictionary (only the IDENTIFIERS
     commonest reach the driver), then each text is scanned on its own, without a shuffle.
+    Whether a string in a sensitive place is reported is decided by its marginal bytes, wherever it stands there.
     A null text is empty and has none; repeated rows are reported as often as they stand; a
     null doc_id stays null; an empty table gives no rows; other columns are not read.
     """
