@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -38,8 +39,8 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "option": ({"option"}, {"select"})}
 _FENCE = frozenset("table td th button object".split())
 
-#: Block elements in a path at most, the innermost ones.
-PATH_LENGTH = 8
+#: Ids that say what an element holds, as the whole id of anything but a heading.
+_DROPPED_IDS = frozenset("comments disqus footer header masthead menu nav navbar navigation respond sidebar".split())
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -49,7 +50,7 @@ _WORD = re.compile(r"[a-z]+")
 
 @dataclass(slots=True)
 class Open:
-    """An open element: its nearest block elements as a path, and whether it stands in dropped or main parts."""
+    """An open element: its block elements as a path, and whether it stands in dropped or main parts."""
     name: str
     path: str
     dropped: bool
@@ -73,10 +74,14 @@ def _open(name: str, attributes: str, parent: Open) -> Open:
             if m[1].lower() == "role":
                 dropped = dropped or value in _DROPPED_ROLES
                 main = main or value == "main"
+                label = f"{label}@{value}"
+            elif m[1].lower() == "id":
+                dropped = dropped or (value in _DROPPED_IDS and name not in _HEADINGS)
+                main = main or (value in _MAIN_WORDS and name in ("div", "section", "td"))
             else:
                 words.update(_WORD.findall(value))
                 if m[1].lower() == "class" and value:
-                    label = f"{name}.{'.'.join(sorted(value.split()))}"
+                    label = f"{label}.{'.'.join(sorted(value.split()))}"
     if name not in _MAIN and name not in ("html", "body"):
         dropped = dropped or not words.isdisjoint(_DROPPED_WORDS)
         main = main or (not words.isdisjoint(_MAIN_WORDS) and name in ("div", "section", "td"))
@@ -84,7 +89,8 @@ def _open(name: str, attributes: str, parent: Open) -> Open:
         dropped = False  # of the article itself: its headings are text, see blocks()
     path = parent.path
     if name in _BLOCK:
-        path = "/".join([*path.split("/")[-PATH_LENGTH + 1:], label])
+        # The whole path at any depth: the last element, and a digest of those around it.
+        path = f"{label}/{hashlib.blake2b(f'{path}>{label}'.encode(), digest_size=8).hexdigest()}"
     return Open(name, path, parent.dropped or dropped, parent.main or main)
 
 
@@ -188,38 +194,56 @@ def blocks(html: str) -> list[Block]:
 
 
 # --- Wrappers ---------------------------------------------------------------------
-# An item is [path, text digest or None for a slot, optional, repeated, pages].
+# An item is [path with marks, digests of the texts that all its pages have there, optional, repeated, least page, greatest
+# page]. Where no text is common it is a slot; the pages, as digests of all their texts, tell whether more than
+# copies of one page have it. Marks: ! for parts that never are main text, * for parts that are said to be.
 
 def _digest(text: str) -> str:
     return f"{zlib.crc32(text.encode()):08x}{len(text):x}"
 
 
-def page_stream(page: list[Block]) -> list[list]:
-    """A page as a wrapper: neighbours of one path are one repeated item."""
+def _marked(block: Block) -> str:
+    return f"{block.path}{'!' * block.dropped}{'*' * block.main}"
+
+
+def page_stream(page: list[Block]) -> tuple[list[list], list[int]]:
+    """A page as a wrapper, neighbours of one path as one repeated item, and the item of each block."""
+    whole = hashlib.blake2b("\n".join(b.text for b in page).encode(), digest_size=8).hexdigest()
     items: list[list] = []
+    of = []
     for block in page:
-        if items and items[-1][0] == block.path:
-            items[-1][1], items[-1][3] = None, True
+        path = _marked(block)
+        if items and items[-1][0] == path:
+            items[-1][1].append(_digest(block.text))
+            items[-1][3] = True
         else:
-            items.append([block.path, _digest(block.text), False, False, 1])
-    return folded(items)
+            items.append([path, [_digest(block.text)], False, False, whole, whole])
+        of.append(len(items) - 1)
+    out, places = folded(items)
+    return out, [places[n] for n in of]
 
 
-def folded(items: list[list]) -> list[list]:
-    """Groups of two to four items that come again at once become repeated items."""
+def folded(items: list[list]) -> tuple[list[list], list[int]]:
+    """Groups of two to four items that come again at once as repeated items, and where each item went."""
     out: list[list] = []
+    places: list[int] = []
     at = 0
     while at < len(items):
         for n in (2, 3, 4):
             if len(out) >= n and [i[0] for i in out[-n:]] == [i[0] for i in items[at:at + n]]:
-                for old in out[-n:]:
-                    old[1], old[3] = None, True
+                for old, new in zip(out[-n:], items[at:at + n]):
+                    old[1] = old[1] + new[1]
+                    old[3:] = True, min(old[4], new[4]), max(old[5], new[5])
+                places += range(len(out) - n, len(out))
                 at += n
                 break
         else:
-            out.append(items[at])
+            places.append(len(out))
+            out.append(list(items[at]))
             at += 1
-    return out
+    for item in out:
+        item[1] = sorted(set(item[1]))
+    return out, places
 
 
 def aligned(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
@@ -255,23 +279,24 @@ def aligned(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]
 
 
 def merged(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of both: unmatched items are optional, texts that differ are slots."""
+    """The wrapper of both: unmatched items are optional, texts that only one side has become slots."""
     out = []
     for i, j in aligned(a, b):
         if i is None or j is None:
-            path, text, _, repeated, pages = a[i] if j is None else b[j]
-            out.append([path, text, True, repeated, pages])
+            path, texts, _, *rest = a[i] if j is None else b[j]
+            out.append([path, texts, True, *rest])
         else:
             x, y = a[i], b[j]
-            out.append([x[0], x[1] if x[1] == y[1] else None, x[2] or y[2], x[3] or y[3], x[4] + y[4]])
-    return folded(out)
+            common = x[1] if x[1] == y[1] else sorted(set(x[1]).intersection(y[1]))
+            out.append([x[0], common, x[2] or y[2], x[3] or y[3], min(x[4], y[4]), max(x[5], y[5])])
+    return folded(out)[0]
 
 
 def as_expression(wrapper: list[list]) -> str:
     """A wrapper written as a union-free regular expression over paths."""
     parts = []
-    for path, text, optional, repeated, _ in wrapper:
-        part = f"{path}={'#slot' if text is None else text}"
+    for path, texts, optional, repeated, *_ in wrapper:
+        part = f"{path}={'+'.join(texts) or '#slot'}"
         part = f"({part})+" if repeated else part
         parts.append(f"({part})?" if optional else part)
     return " ".join(parts)
@@ -302,7 +327,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for host, html in zip(batch["host"], batch["html"]):
-                stream = page_stream(blocks(html or ""))
+                stream, _ = page_stream(blocks(html or ""))
                 known[host] = merged(known[host], stream) if host in known else stream
             if len(known) > limit:
                 yield out()
@@ -326,19 +351,26 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
 def main_text(html: str, wrapper: list[list]) -> tuple[str, int]:
     """The article's blocks joined by line ends, and how many blocks were left out.
 
-    Where the page marks no article, the wrapper tells text from template: what stands
-    the same on the host's pages is template.
+    Each block is judged by the wrapper's item that it is aligned with. If the page has items said
+    to be main text, those are the article, but for what never is. If not, it is what the template leaves:
+    texts that all different pages with that item have there are template, be they menus, notices or single lines.
     """
     page = blocks(html)
-    kept = [b for b in page if b.main and not b.dropped]
-    if not any(b.main for b in page):
-        fixed = set()
-        stream = page_stream(page)
-        for i, j in aligned(wrapper, stream):
-            if i is not None and j is not None and wrapper[i][4] > 1 and wrapper[i][1] is not None:
-                fixed.add((stream[j][0], wrapper[i][1]))
-        kept = [b for b in page if not b.dropped and (b.path, _digest(b.text)) not in fixed]
-    return "\n".join(b.text for b in kept), len(page) - len(kept)
+    stream, of = page_stream(page)
+    items = list(stream)
+    for i, j in aligned(wrapper, stream):
+        if i is not None and j is not None:
+            items[j] = wrapper[i]
+    said = any("*" == item[0][-1:] for item in items)
+
+    def main(block: Block, item: list) -> bool:
+        marks = item[0].removeprefix(block.path)
+        if said:
+            return marks == "*"
+        return marks == "" and (item[4] == item[5] or _digest(block.text) not in item[1])
+
+    kept = [b.text for b, n in zip(page, of) if main(b, items[n])]
+    return "\n".join(kept), len(page) - len(kept)
 
 
 TEXTS = "page_id long, url string, text string, n_chars long, n_left_out long"
@@ -349,7 +381,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Wrappers are written once; where their files are small Spark sends them to the tasks
     by its own limit for that, else pages and wrappers are joined by host and skewed hosts are
-    split. A null html is empty, its text too; pages without url share a wrapper; repeated
+    split. Of the rows of a host only different pages tell what is template. A null html is empty, its text too; pages without url share a wrapper; repeated
     rows are extracted as often as they stand; an empty table gives no rows; other columns
     are not read.
     """
@@ -365,7 +397,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if wrapper not in known:
                     if len(known) > 2_000:
                         known.clear()
-                    known[wrapper] = json.loads(wrapper) if wrapper else []
+                    known[wrapper] = [[path, frozenset(texts), *rest] for path, texts, *rest in json.loads(wrapper or "[]")]
                 found.append(main_text(html or "", known[wrapper]))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64").array, "url": batch["url"].array,
                                 "text": [t for t, _ in found], "n_chars": [len(t) for t, _ in found],

@@ -47,6 +47,41 @@ def test_wrapper_tells_template_from_text_where_nothing_is_marked(spark):
     assert out[5].startswith("Our great site\nx")  # one page alone shows no template
 
 
+MENU = "<ul><li>Home<li>News<li>About us</ul>"
+
+
+def test_template_goes_where_nothing_is_marked(spark, monkeypatch):
+    page = ("<body>" + MENU + "<div><h2>{0}</h2><p>{0} one<p>{0} two<p>Write to the editor<ul><li>{0} a<li>{0} b</ul></div>"
+            "<dl><dt>Imprint<dd>us<dt>Terms<dd>none</dl></body>")
+    rows = [("http://h.example/%d" % i, page.format(f"t{i % 4}")) for i in range(6)]  # the first two come twice
+    df = pages(spark, rows)
+    want = {i: "t{0}\nt{0} one\nt{0} two\nt{0} a\nt{0} b".format(i % 4) for i in range(6)}
+    assert texts(df) == want
+    html = rows[0][1]
+    assert hw.main_text(html, [])[0] != want[0]  # without the wrapper the template stays
+
+
+def test_copies_keep_their_text(spark):
+    one, other = MENU + "<p>one text<p>and more", "<p>quite another page"
+    rows = [("http://h.example/%d" % i, one) for i in range(3)]
+    assert set(texts(pages(spark, rows)).values()) == {"Home\nNews\nAbout us\none text\nand more"}
+    out = texts(pages(spark, rows + [("http://h.example/o", other), ("http://h.example/m", MENU + "<p>its own")]))
+    assert [out[i] for i in (0, 1, 2, 3, 4)] == ["one text\nand more"] * 3 + ["quite another page", "its own"]
+
+
+def test_ids_of_headings_and_sections_are_names_only(spark):
+    page = ('<article><h2 id="social-impact">Impact</h2><p>a</p><section id="search-algorithms"><p>b</p></section>'
+            '<h3 id="comments">On comments</h3><div id="comments"><p>reader</p></div></article>')
+    assert texts(pages(spark, [("http://h/", page)]))[0] == "Impact\na\nb\nOn comments"
+
+
+def test_paths_have_no_longest_length(spark):
+    deep = lambda x: "<div>" * 30 + "<aside>" + "<div>" * 30 + "side" + "</div>" * 30 + "</aside>" + f"<p>{x} text" + "</div>" * 30
+    a, b = (hw.page_stream(hw.blocks("<nav>" + "<div>" * 20 + "x" + "</div>" * 20 + "</nav>" + deep(x)))[0] for x in "ab")
+    assert [i[0][-1:] == "!" for i in a] == [True, True, False] and len({i[0] for i in a}) == 3
+    assert [bool(i[1]) for i in hw.merged(a, b)] == [True, True, False]
+
+
 def test_odd_pages(spark):
     rows = [(None, None), ("", ""), ("nonsense", "no tags at all  "), ("http://h/", "<p>a<p>b"), ("http://h/", "<article></article>"),
             ("http://h/", "x < y & z &lt &#65;"), ("http://h/", "<article><p>one<div class='cookie-notice'>c</div>two")]
@@ -60,18 +95,18 @@ def test_long_and_broken_pages_take_linear_time():
     start = time.time()
     for page in ("<div>" * 30_000, "<p>" * 50_000, '<a "' * 30_000, '</a "' * 30_000, "<b>" * 30_000 + "</i>" * 30_000,
                  "<!--" * 30_000, "<li><h2>a</h2><p>b</p>" * 10_000, "<script>" * 30_000, "a" * 1_000_000):
-        hw.main_text(page, hw.page_stream(hw.blocks(page)))
+        hw.main_text(page, hw.page_stream(hw.blocks(page))[0])
     assert time.time() - start < 20
 
 
 def test_wrappers_are_union_free():
     def stream(*paths):
-        return hw.page_stream([hw.Block(p, t, False, False) for p, t in paths])
+        return hw.page_stream([hw.Block(p, t, False, False) for p, t in paths])[0]
 
     a = stream(("nav", "m"), ("h1", "x"), ("p", "1"), ("p", "2"), ("foot", "f"))
     b = stream(("nav", "m"), ("h1", "y"), ("ad", "buy"), ("p", "3"), ("foot", "f"))
     m = hw.merged(a, b)
-    assert [(i[0], i[1] is None, i[2], i[3]) for i in m] == [
+    assert [(i[0], not i[1], i[2], i[3]) for i in m] == [
         ("nav", False, False, False), ("h1", True, False, False), ("ad", False, True, False), ("p", True, False, True),
         ("foot", False, False, False)]
     assert hw.as_expression(m).count("?") == 1 and hw.as_expression(m).count("+") == 1
