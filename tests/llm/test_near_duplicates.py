@@ -5,8 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from maskloom.llm import near_duplicates as nd
-from maskloom.llm.common import table
+from maskloom.llm import components as components_module, near_duplicates as nd
+from maskloom.llm.common import stored, table
 from maskloom.llm.components import components
 from maskloom.llm.membership import perhaps_among
 
@@ -128,3 +128,22 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_ALL", 16)
     texts = family(7, 150, words=80, changes=9) + family(8, 40, words=50, changes=5)
     assert got(nd.report(docs(spark, texts), size=4)) == plain(list(enumerate(texts)), 4)
+
+
+def test_components_that_are_stars_are_told_without_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "stored", lambda df, name: written.append(name) or stored(df, name))
+    stars = [(9, 1), (8, 1), (1, 7), (6, 2), (6, 2), (5, 5)]
+    found = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (6, 2), (7, 1), (8, 1), (9, 1)]
+    assert len(written) == 1
+
+
+def test_copies_that_share_their_smallest_neighbour_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "stored", lambda df, name: written.append(name) or stored(df, name))
+    base = prose("near", 300).split()
+    texts = [" ".join(base[:k] + [f"other{k}"] + base[k + 1:]) for k in range(0, 300, 2)]
+    rows = nd.report(docs(spark, texts), size=4).collect()
+    assert {r["component_id"] for r in rows} == {0}
+    assert len(written) <= 6, len(written)
