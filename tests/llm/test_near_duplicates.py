@@ -146,4 +146,5 @@ def test_copies_that_share_their_smallest_neighbour_take_few_rounds(spark, monke
     texts = [" ".join(base[:k] + [f"other{k}"] + base[k + 1:]) for k in range(0, 300, 2)]
     rows = nd.report(docs(spark, texts), size=4).collect()
     assert {r["component_id"] for r in rows} == {0}
-    assert len(written) <= 6, len(written)
+    # 6 or 7, depending on where the sorted rows are cut; 13 when rounds went on until nothing changed.
+    assert len(written) <= 9, len(written)
